@@ -50,3 +50,12 @@ def local_path(uri: str) -> tuple:
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+#: Rows of a narrow table that may be broadcast; beyond it the join shuffles.
+SMALL_ROWS = 1_000_000
+
+
+def if_small(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """A written, narrow table, marked for broadcast if it has at most `limit` rows."""
+    return F.broadcast(table) if table.count() <= (SMALL_ROWS if limit is None else limit) else table
