@@ -52,6 +52,17 @@ def _overlap(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / den).cast("int")
 
 
+def _matches(num: int, den: int) -> Column:
+    """Shared prefix shingles that a pair needs: its lesser k, and what its two sizes demand.
+
+    Of the set whose prefix ends first in the order, no prefix shingle is among those of the other set that follow its prefix. So the overlap
+    is at most the matches and what is left of that set; and it must reach (xn + yn) * num / (num + den).
+    """
+    rest = lambda p: _overlap(F.col(f"{p}n"), num, den) - F.col(f"{p}k")
+    need = F.ceil((F.col("xn") + F.col("yn")) * num / (num + den) - F.lit(1e-9))
+    return F.greatest(F.least("xk", "yk").cast("long"), need - F.greatest(rest("x"), rest("y")))
+
+
 def _prefixes(docs: DataFrame, classes: DataFrame, num: int, den: int, text: str, id_: str) -> DataFrame:
     """cid, n, k, prefix of every class."""
     region = classes.select("cid", F.explode("region").alias("tok"))
@@ -110,8 +121,8 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, text: str =
     entries = prefixes.select(F.explode("prefix").alias("tok"), "cid", "n", "k")
     a, b = (entries.select("tok", *(F.col(c).alias(p + c) for c in ("cid", "n", "k"))) for p in "xy")
     near = (F.col("xcid") < F.col("ycid")) & (den * F.least("xn", "yn") >= num * F.greatest("xn", "yn"))
-    met = a.join(b, "tok").where(near).groupBy("xcid", "ycid").agg(F.count("*").alias("c"), F.first("xn").alias("xn"), F.first("yn").alias("yn"), F.first(F.least("xk", "yk")).alias("k"))
-    candidates = written(met.where("c >= k").select(F.col("xcid").alias("x"), F.col("ycid").alias("y"), "xn", "yn"), "candidates")
+    met = a.join(b, "tok").where(near).groupBy("xcid", "ycid").agg(F.count("*").alias("c"), *(F.first(c).alias(c) for c in ("xn", "yn", "xk", "yk")))
+    candidates = written(met.where(F.col("c") >= _matches(num, den)).select(F.col("xcid").alias("x"), F.col("ycid").alias("y"), "xn", "yn"), "candidates")
     ends = candidates.select(F.col("x").alias("cid")).unionByName(candidates.select(F.col("y").alias("cid"))).distinct()
     wanted = written(classes.select("cid", "rep").join(ends, "cid", "left_semi"), "candidate-classes")
     sets = written(_whole_sets(docs, wanted, text, id_), "candidate-sets")
