@@ -77,5 +77,19 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY cp DESC, doc_id)
 """
 
 
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, c = i.n AND c = j.n AS same FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 90 * (i.n + j.n - c)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+k AS (SELECT x, count(*) AS links, count(*) FILTER (same) AS equal FROM l GROUP BY x), m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.links, 0) AS n_similar, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, 1 + coalesce(k.equal, 0) AS class_size
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.x = w.doc_id LEFT JOIN m ON m.x = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": _OP4, "op10_exact_dedup": _OP10}
+    return {"op3_jaccard_join": _OP3, "op4_exact_top_k": _OP4, "op10_exact_dedup": _OP10}
