@@ -182,11 +182,17 @@ _add("nodes_in_cycles", lambda g: g.nodes_in_cycles("imports"), ", c(a, b) AS (S
 _add("dependency_layers", lambda g: g.dependency_layers("extends"), ", r(path, d) AS (SELECT path, 0 FROM sym WHERE path NOT IN (SELECT src FROM ext) UNION SELECT e.src, d + 1 FROM r JOIN ext e ON e.dst = r.path) SELECT max(d) AS layer, path FROM r GROUP BY path", many=True)
 _add("topological_sort", lambda g: g.topological_sort(), None, many=True)
 _add("topological_sort__cyclic", lambda g: g.topological_sort().where("cyclic").select("path"), ", c(a, b) AS (SELECT src, dst FROM calls UNION SELECT c.a, e.dst FROM c JOIN calls e ON e.src = c.b) SELECT DISTINCT path FROM (SELECT a AS path FROM c WHERE a = b UNION SELECT y.b FROM c x JOIN c y ON y.a = x.a WHERE x.a = x.b)", many=True)
-_add("k_core", lambda g: g.k_core(2, "extends"), None, many=True)
-_add("k_core__calls", lambda g: g.k_core(3), None, many=True)
-_add("articulation_points", lambda g: g.articulation_points("extends"), None, many=True)
-_add("bridge_edges", lambda g: g.bridge_edges("extends"), None, many=True)
-_add("biconnected_components", lambda g: g.biconnected_components("extends"), None, many=True)
+_CORE = ", a(i, path) AS (SELECT 0, path FROM sym UNION ALL SELECT i + 1, path FROM (SELECT x.i, x.path FROM a x JOIN {0} e ON x.path IN (e.src, e.dst) JOIN a y ON y.path = CASE WHEN e.src = x.path THEN e.dst ELSE e.src END GROUP BY x.i, x.path HAVING count(*) >= {1}) WHERE i < 40) SELECT path FROM a WHERE i = 40"
+_add("k_core", lambda g: g.k_core(2, "extends"), _CORE.format("ext", 2), many=True)
+_add("k_core__calls", lambda g: g.k_core(3), _CORE.format("calls", 3), many=True)
+_UNDE = ", und(a, b) AS (SELECT src, dst FROM ext UNION SELECT dst, src FROM ext)"
+_add("articulation_points", lambda g: g.articulation_points("extends"), _UNDE + ", r(v, n) AS (SELECT a, min(b) FROM und GROUP BY a UNION SELECT r.v, u.b FROM r JOIN und u ON u.a = r.n WHERE u.b <> r.v) SELECT DISTINCT a AS path FROM und WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.v = und.a AND r.n = und.b)", many=True)
+_add("bridge_edges", lambda g: g.bridge_edges("extends"), _UNDE + ", r(x, y, v) AS (SELECT a, b, a FROM und WHERE a < b UNION SELECT r.x, r.y, u.b FROM r JOIN und u ON u.a = r.v WHERE NOT (least(u.a, u.b) = r.x AND greatest(u.a, u.b) = r.y)) SELECT a, b FROM und WHERE a < b AND NOT EXISTS (SELECT 1 FROM r WHERE r.x = und.a AND r.y = und.b AND r.v = und.b)", many=True)
+_add("biconnected_components", lambda g: g.biconnected_components("extends"), _UNDE + """, r(v, s, n) AS (SELECT a, b, b FROM und UNION SELECT r.v, r.s, u.b FROM r JOIN und u ON u.a = r.n WHERE u.b <> r.v),
+same AS (SELECT DISTINCT least(r.v, r.s) || ' ' || greatest(r.v, r.s) AS e, least(r.v, r.n) || ' ' || greatest(r.v, r.n) AS f FROM r JOIN und u ON u.a = r.v AND u.b = r.n),
+c(e, f) AS (SELECT e, f FROM same UNION SELECT c.e, same.f FROM c JOIN same ON same.e = c.f), blk AS (SELECT e, min(f) AS l FROM c GROUP BY e),
+mem AS (SELECT DISTINCT l, m FROM (SELECT l, unnest([a, b]) AS m FROM und JOIN blk ON e = least(a, b) || ' ' || greatest(a, b))),
+g AS (SELECT l, CAST(row_number() OVER (ORDER BY list_sort(list(m))) AS INTEGER) AS group_rank FROM mem GROUP BY l) SELECT group_rank, m AS member FROM mem JOIN g USING (l)""", many=True)
 
 # Centrality
 _PAIRS = ", r(a, b, d) AS (SELECT src, dst, 1 FROM ext UNION SELECT r.a, e.dst, d + 1 FROM r JOIN ext e ON e.src = r.b), dist AS (SELECT a, b, min(d) AS d FROM r WHERE a <> b GROUP BY a, b)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import file_of
 from ..graph import SymbolGraph
 
 COMPACT_AT = 500
@@ -35,9 +36,12 @@ def latest(records: DataFrame) -> DataFrame:
 def replay(base: SymbolGraph, records: DataFrame, nodes: DataFrame, edges: DataFrame) -> SymbolGraph:
     """The base with every journalled file as its last record has it; inbound edges to what is left stay."""
     last = latest(records)
-    live = lambda df: df.join(F.broadcast(last.select("seq")), "seq", "left_semi")
-    new = SymbolGraph(live(nodes).select("path", "node_kind", "span").dropDuplicates(["path"]), live(edges).select("kind", "src", "dst").distinct())
-    return base.replace_files(last.select(F.col("owner").alias("file")), new)
+    named = nodes.join(F.broadcast(last), "seq").withColumn("file", file_of(F.col("path")))  # journal records are few: compact() sees to that
+    own = named.where("file = owner")
+    far = named.where("file <> owner").join(F.broadcast(last.select(F.col("owner").alias("file"))), "file", "left_anti")
+    new_nodes = own.select("path", "node_kind", "span").unionByName(far.select("path", "node_kind", "span")).dropDuplicates(["path"])
+    new_edges = edges.join(F.broadcast(last), "seq").where(file_of(F.col("src")) == F.col("owner")).select("kind", "src", "dst").distinct()
+    return base.replace_files(last.select(F.col("owner").alias("file")), SymbolGraph(new_nodes, new_edges))
 
 
 def load_with_journal(spark: SparkSession, path: str) -> SymbolGraph:
