@@ -6,33 +6,53 @@ All but the last return the columns of documents; the last returns the packed pi
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from symloom.llm import exact_dedup, jaccard, mixing, packing, quality_lm
-from symloom.llm.common import fresh_path
+from symloom.llm.common import fresh_path, recorded, remove
+
+#: Tables that the stage before wrote on its way: its result is written by the time the next one starts, so they can go.
+_on_the_way: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _on_the_way)
+        with recorded(_on_the_way):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose perplexity under a model of trusted text is too high for their language."""
     return quality_lm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts stays."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of least id."""
     return jaccard.drop_near_duplicates(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to target weights: a document appears as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 ids and their places in sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: While recorded() is active, the paths that fresh_path() gives out.
+_record: list[str] | None = None
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _record is not None:
+        _record.append(path)
+    return path
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Notes the tables written inside, so that they can be removed when nothing reads them any more."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder and empties the list."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -105,8 +105,10 @@ def mix(docs: DataFrame, carry: list[str] | None = None, seed: int = 17, block_w
     carry = carry or []
     words = F.regexp_count(body(f"`{text}`"), F.lit(f"[^{WS}]+")).cast("long")
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(carry)), F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), words.alias("size"), _hash(seed, F.col(f"`{id_}`"), body(f"`{text}`")).alias("h_"))
-    rows = written(rows, "mix-rows")
-    by_source = sorted(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    narrow = written(rows.select("doc_id", "source", "size", "h_"), "mix-rows")
+    if not carry:
+        rows = narrow
+    by_source = sorted(narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     if not by_source:
         return rows.drop("h_", "source").withColumn("source_size", F.col("size")).withColumn("target", F.lit(0.0)).withColumn("taken", F.col("size")).withColumn("draws", F.array().cast("array<struct<pass:int,shard:int,words:bigint>>"))
     sizes = [r["size"] for r in by_source]
@@ -118,10 +120,11 @@ def mix(docs: DataFrame, carry: list[str] | None = None, seed: int = 17, block_w
         blocks = max(1, -(-r["size"] // block_words), -(-r["n"] // BLOCK_DOCS))
         plan.append({"no": i, "source": r["source"], "source_size": r["size"], "target": float(goal), "passes": int(passes), "rest": int(rest), "blocks": blocks})
     sources = _rows(spark, plan, "no int, source string, source_size bigint, target double, passes int, rest bigint, blocks int")
-    placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop("source").withColumn("block", F.pmod(_hash(seed + 1, F.col("h_")), F.col("blocks")).cast("int"))
+    in_blocks = lambda r: r.join(F.broadcast(sources), r["source"].eqNullSafe(sources["source"])).drop("source").withColumn("block", F.pmod(_hash(seed + 1, F.col("h_")), F.col("blocks")).cast("int"))
+    placed = in_blocks(rows)
     # blocks in permuted order; the rest of the target ends inside one of them
     turn = Window.partitionBy("no").orderBy(_hash(seed + 2, F.col("no"), F.col("block")), "block")
-    blocks = placed.groupBy("no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    blocks = in_blocks(narrow).groupBy("no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     blocks = blocks.withColumn("order", F.row_number().over(turn) - 1).withColumn("before", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"))
     blocks = written(blocks.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before")))), "mix-blocks")
     # quotas in blocks, and the tree's shards for every draw
