@@ -11,7 +11,6 @@ trusted documents' own.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from .common import body, if_small, written
 ORDER, BITS = 4, 12
 _EDGE, _FOLDED = (1 << BITS) - 1, 3840
 #: Signs that are coded at once; rows of the model (16 bytes each) that may be broadcast.
-CHUNK, MODEL_ROWS = 2_000_000, 8_000_000
+CHUNK, MODEL_ROWS = 500_000, 4_000_000
 #: A language's threshold is this quantile of its trusted documents, times MARGIN.
 QUANTILE, MARGIN = 0.995, 1.2
 _EDGE_SIGN = "\U0010ffff"
@@ -186,9 +185,6 @@ class _Model:
         return out
 
 
-_models: dict = {}
-
-
 def _scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     """By a broadcast copy of the model. docs: key_, text_."""
     spark, cols = docs.sparkSession, {}
@@ -199,13 +195,10 @@ def _scores(docs: DataFrame, model: DataFrame) -> DataFrame:
             mine = (order == k) & (seen == s)
             if mine.any():
                 cols[k, s] = gram[mine], v[mine]
-    shared, name = spark.sparkContext.broadcast(cols), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(cols)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:  # one at a time
-            _models.clear()
-            _models[name] = _Model(shared.value)
-        m = _models[name]
+        m = _Model(shared.value)  # made anew by each task: kept, it would crowd out what later tasks of the worker need
         for batch in batches:
             texts = batch.column("text_").to_pylist()
             total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
