@@ -1,20 +1,25 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The grams are of signs, not words: word grams of unseen text are mostly unseen too, and say little. A sign
-takes 12 bits, so a gram of ORDER signs is one long. Counting is map-side first; counts, continuation counts,
-context totals and the interpolated probabilities are joined as tables that are sharded by gram.
+The grams are pairs of words (WORDS), so what is counted grows with the text; grams of signs (SIGNS) are the other coding.
+A word is a run of letters and digits, any other sign that is no white space, or one sign of a script without word breaks;
+it takes 31 bits of a hash, so a pair is one long. Counting is map-side first; counts, continuation counts, context totals
+and the interpolated probabilities are joined as tables that are sharded by gram.
 A text's perplexity is looked up gram by gram, backing off where the model lacks one: in a broadcast copy of
-the model as long as that is no larger than a checked bound, beyond it by joins of the texts' grams with the
+the model as long as that is no larger than a checked bound, beyond it by a join of the texts' grams with the
 sharded tables. A document is rejected if its perplexity is above its language's threshold, a quantile of the
-trusted documents' own.
+trusted documents' own, each scored by a model of the half of them that it isn't in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +32,22 @@ CHUNK, MODEL_ROWS = 500_000, 4_000_000
 #: A language's threshold is this quantile of its trusted documents, times MARGIN.
 QUANTILE, MARGIN = 0.995, 1.2
 _EDGE_SIGN = "\U0010ffff"
+_WORD_BITS = 31
+_EDGE_WORD = (1 << _WORD_BITS) - 1
+#: Of a model too large to broadcast: its most frequent grams that are, and its rows up to which a filter of all of them is (32 MB).
+HEAD_ROWS, FILTER_ROWS = 400_000, 64_000_000
+_SLICES, _SLICE_BITS = 61, 22
 
 
-def _mask(order: int) -> int:
-    return (1 << (BITS * order)) - 1
+class Coding(NamedTuple):
+    """What a gram is made of: signs or words to a gram, bits of each, and code(texts) -> (grams, text each belongs to) in chunks."""
+
+    order: int
+    bits: int
+    code: Callable
+
+    def mask(self, order: int) -> int:
+        return (1 << (self.bits * order)) - 1
 
 
 def _coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,6 +85,86 @@ def _coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """By code point. 0: white space; 1: part of a word; 2: a word of its own (punctuation, ideographs and the like, the edge)."""
+    out = np.full(0x110000, 2, np.uint8)
+    for c in range(0x30000):
+        if chr(c).isspace():
+            out[c] = 0
+        elif chr(c).isalnum() or c == 0x5F or unicodedata.category(chr(c))[0] == "M":
+            out[c] = 1
+    for a, b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)):
+        out[a : b + 1] = 2
+    return out
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(31-bit code of each word, its start)."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _classes()[raw]
+    first = np.flatnonzero((kind == 2) | ((kind == 1) & np.r_[True, kind[:-1] != 1]))
+    if not len(first):
+        return np.zeros(0, np.int64), first
+    # a word's hash is a sum over its signs, each mixed with its place in the word
+    place = np.arange(len(raw)) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(raw)]))
+    x = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x[kind == 0] = 0
+    h = np.add.reduceat(x, first) * np.uint64(0x94D049BB133111EB)
+    code = (h >> np.uint64(33)).astype(np.int64)
+    code[(code == _EDGE_WORD) | (code == 0)] = 1
+    code[raw[first] == 0x10FFFF] = _EDGE_WORD
+    return code, first
+
+
+def _word_coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of words, with the edge before the first and after the last. A long text is cut at white space, and only a word longer than CHUNK inside."""
+    held: list[str] = []
+    owner: list[int] = []
+    size = 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        word, at = _words("".join(held))
+        starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+        own = np.searchsorted(starts, at, "right") - 1
+        pair = np.flatnonzero(own[1:] == own[:-1]) + 1
+        return word[pair - 1] << _WORD_BITS | word[pair], np.array(owner, np.int64)[own[pair]]
+
+    for i, text in enumerate(texts):
+        text = text.replace(_EDGE_SIGN, " ")
+        if len(text) > CHUNK:
+            if held:
+                yield flush()
+                held, owner, size = [], [], 0
+            a, last = 0, _EDGE_WORD
+            while a < len(text):
+                b = min(a + CHUNK, len(text))
+                if b < len(text):
+                    b = a + (max(text.rfind(c, a, b) - a for c in " \n\t") + 1 or CHUNK)
+                word = _words(text[a:b])[0]
+                if b == len(text):
+                    word = np.r_[word, _EDGE_WORD]
+                before = np.r_[last, word[:-1]]
+                if len(word):
+                    yield before << _WORD_BITS | word, np.full(len(word), i, np.int64)
+                    last = word[-1]
+                a = b
+            continue
+        held.append(_EDGE_SIGN + text + _EDGE_SIGN)
+        owner.append(i)
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield flush()
+            held, owner, size = [], [], 0
+    if held:
+        yield flush()
+
+
+SIGNS, WORDS = Coding(ORDER, BITS, _coded), Coding(2, _WORD_BITS, _word_coded)
+
+
 def _reduced(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -75,21 +172,27 @@ def _reduced(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """gram, c over a table of one text column: each task adds up its own before the shuffle."""
+def gram_counts(texts: DataFrame, coding: Coding = SIGNS) -> DataFrame:
+    """half, gram, c over a table of texts (text_ or the only column) and the half that each is in (0 without such a column): each task adds up its own before the shuffle."""
+    code, halves = coding.code, "half" in texts.columns
+    texts = texts.select("half", "text_") if halves else texts.select(F.lit(0).alias("half"), texts[texts.columns[0]].alias("text_"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept = {h: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for h in (0, 1)}
+        rows = lambda h: pa.RecordBatch.from_arrays([pa.array(np.full(len(kept[h][0]), h, np.int32)), *map(pa.array, kept[h])], names=["half", "gram", "c"])
         for batch in batches:
-            for gram, _ in _coded(batch.column(0).to_pylist()):
-                u, c = np.unique(gram, return_counts=True)
-                codes, counts = _reduced(np.concatenate([codes, u]), np.concatenate([counts, c]))
-                if len(codes) > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "c"])
-                    codes, counts = codes[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "c"])
+            half, all_ = batch.column("half").to_numpy(zero_copy_only=False), batch.column("text_").to_pylist()
+            for h in (0, 1):
+                for gram, _ in code([all_[i] for i in np.flatnonzero(half == h)]):
+                    u, c = np.unique(gram, return_counts=True)
+                    codes, counts = kept[h]
+                    kept[h] = _reduced(np.concatenate([codes, u]), np.concatenate([counts, c]))
+                    if len(kept[h][0]) > 4_000_000:
+                        yield rows(h)
+                        kept[h] = codes[:0], counts[:0]
+        yield from map(rows, kept)
 
-    return texts.mapInArrow(count, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(count, "half int, gram bigint, c bigint").groupBy("half", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -103,32 +206,37 @@ def _discounts(grams: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))  # type: ignore[return-value]
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """The model of a one-column table of trusted texts, as a written table.
+def train(texts: DataFrame, coding: Coding = SIGNS) -> DataFrame:
+    """The model of a one-column table of trusted texts, as a written table."""
+    return model_of(written(gram_counts(texts, coding).select("gram", "c"), "gram-counts"), coding)
+
+
+def model_of(top: DataFrame, coding: Coding) -> DataFrame:
+    """The model of written counts of the longest grams (gram, c), as a written table.
 
     Rows: order, seen (a gram's log probability) or not (a context's log weight of backing off), gram, v. The one row of order 0 holds
     what an unknown sign gets. No texts give only that row.
     """
-    top = written(gram_counts(texts), "gram-counts")
-    by_order = {ORDER: top}
-    for k in range(ORDER - 1, 0, -1):
-        by_order[k] = written(by_order[k + 1].groupBy(F.col("gram").bitwiseAND(_mask(k)).alias("gram")).agg(F.count("*").alias("c")), f"grams-{k}")
+    order, bits = coding.order, coding.bits
+    by_order = {order: top}
+    for k in range(order - 1, 0, -1):
+        by_order[k] = written(by_order[k + 1].groupBy(F.col("gram").bitwiseAND(coding.mask(k)).alias("gram")).agg(F.count("*").alias("c")), f"grams-{k}")
     ones = by_order[1].agg(F.count("*").alias("v"), F.sum("c").alias("t")).first()
     signs, total = ones["v"] + 1, ones["t"] or 0
     lower, parts = None, []
-    for k in range(1, ORDER + 1):
+    for k in range(1, order + 1):
         grams, d = by_order[k], _discounts(by_order[k])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        each = grams.withColumn("context", F.shiftright("gram", BITS)).withColumn("off", off)
+        each = grams.withColumn("context", F.shiftright("gram", bits)).withColumn("off", off)
         contexts = each.groupBy("context").agg(F.sum("c").cast("double").alias("total"), (F.sum("off") / F.sum("c")).alias("weight"))
         if k == 1:
             row = contexts.first()
             unknown = (row["weight"] if row else 1.0) / signs
             now = each.select("gram", ((F.col("c") - F.col("off")) / F.lit(float(total or 1)) + F.lit(unknown)).alias("p"))
-            parts.append(texts.sparkSession.range(1).select(F.lit(0).alias("order"), F.lit(True).alias("seen"), F.lit(0).cast("long").alias("gram"), F.lit(float(np.log(unknown))).alias("v")))
+            parts.append(top.sparkSession.range(1).select(F.lit(0).alias("order"), F.lit(True).alias("seen"), F.lit(0).cast("long").alias("gram"), F.lit(float(np.log(unknown))).alias("v")))
         else:
             below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            now = each.join(contexts, "context").withColumn("suffix", F.col("gram").bitwiseAND(_mask(k - 1))).join(below, "suffix").select("gram", ((F.col("c") - F.col("off")) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
+            now = each.join(contexts, "context").withColumn("suffix", F.col("gram").bitwiseAND(coding.mask(k - 1))).join(below, "suffix").select("gram", ((F.col("c") - F.col("off")) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
             parts.append(contexts.select(F.lit(k).alias("order"), F.lit(False).alias("seen"), F.col("context").alias("gram"), F.log("weight").alias("v")))
         lower = written(now, f"probabilities-{k}")
         parts.append(lower.select(F.lit(k).alias("order"), F.lit(True).alias("seen"), "gram", F.log("p").alias("v")))
@@ -144,7 +252,7 @@ class _Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(8, int(8 * max(1, len(keys))).bit_length()))
+        self.shift = np.uint64(64 - max(8, int(2 * max(1, len(keys))).bit_length()))
         self.slot_key = np.full(1 << int(64 - self.shift), -1, np.int64)
         self.slot_value = np.zeros(len(self.slot_key))
         at = self._slot(self.keys)
@@ -167,30 +275,31 @@ class _Table:
 
 
 class _Model:
-    def __init__(self, columns: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, columns: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]], coding: Coding = SIGNS):
+        self.coding = coding
         self.unknown = float(columns[0, True][1][0])
         self.tables = {k: _Table(*v) for k, v in columns.items() if k[0]}
 
     def log_p(self, grams: np.ndarray) -> np.ndarray:
         out = np.zeros(len(grams))
         left, at = grams, np.arange(len(grams))
-        for k in range(ORDER, 0, -1):
+        for k in range(self.coding.order, 0, -1):
             if (k, True) in self.tables:
-                v, found = self.tables[k, True].get(left & _mask(k))
+                v, found = self.tables[k, True].get(left & self.coding.mask(k))
                 out[at] += v
                 left, at = left[~found], at[~found]
             if k > 1 and len(at) and (k, False) in self.tables:
-                out[at] += self.tables[k, False].get((left & _mask(k)) >> BITS)[0]
+                out[at] += self.tables[k, False].get((left & self.coding.mask(k)) >> self.coding.bits)[0]
         out[at] += self.unknown
         return out
 
 
-def _scores(docs: DataFrame, model: DataFrame) -> DataFrame:
+def _scores(docs: DataFrame, model: DataFrame, coding: Coding) -> DataFrame:
     """By a broadcast copy of the model. docs: key_, text_."""
     spark, cols = docs.sparkSession, {}
     rows = model.toArrow()
     order, seen, gram, v = (rows.column(c).to_numpy() for c in ("order", "seen", "gram", "v"))
-    for k in range(ORDER + 1):
+    for k in range(coding.order + 1):
         for s in (True, False):
             mine = (order == k) & (seen == s)
             if mine.any():
@@ -198,11 +307,11 @@ def _scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(cols)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _Model(shared.value)  # made anew by each task: kept, it would crowd out what later tasks of the worker need
+        m = _Model(shared.value, coding)  # made anew by each task: kept, it would crowd out what later tasks of the worker need
         for batch in batches:
             texts = batch.column("text_").to_pylist()
             total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for gram, who in _coded(texts):
+            for gram, who in coding.code(texts):
                 first = int(who[0]) if len(who) else 0
                 s = np.bincount(who - first, m.log_p(gram))
                 total[first : first + len(s)] += s
@@ -213,37 +322,105 @@ def _scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     return docs.mapInArrow(score, schema + ", log_p double, n_grams bigint")
 
 
-def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """By joins of each text's grams with the sharded model, for models too large to broadcast. docs: key_, text_; key_ tells rows apart."""
+def additive(model: DataFrame) -> DataFrame:
+    """gram, v of a model of word pairs: a text's log probability is that of as many unknown words, plus the v of each of its words (gram: -1 - word)
+    and pairs that are here. For each word is the first of one pair and the last of one (the edge, too): what it adds as last and its weight as
+    context are one number, and a pair that is known corrects its two words' sum."""
+    unknown = model.where("order = 0").first()["v"]
+    last = model.where("order = 1").select(F.col("gram").alias("w"), (F.col("v") - unknown).alias("a"))
+    context = model.where("order = 2 AND NOT seen").select(F.col("gram").alias("h"), F.col("v").alias("b"))
+    words = last.join(context, F.col("w") == F.col("h"), "left").select((-1 - F.col("w")).alias("gram"), (F.col("a") + F.coalesce("b", F.lit(0.0))).alias("v"))
+    pairs = model.where("order = 2 AND seen").select("gram", F.col("v").alias("p"), F.shiftright("gram", _WORD_BITS).alias("h"), F.col("gram").bitwiseAND(_EDGE_WORD).alias("w"))
+    return words.unionByName(pairs.join(last, "w").join(context, "h").select("gram", (F.col("p") - F.col("a") - F.col("b") - unknown).alias("v")))
+
+
+def _bits(gram: np.ndarray) -> list[np.ndarray]:
+    x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return [((x >> np.uint64(k)) & np.uint64((1 << _SLICE_BITS) - 1)).astype(np.int64) for k in (0, 20, 41)]
+
+
+def _filter(grams: DataFrame) -> dict[int, np.ndarray]:
+    """A Bloom filter of a column of grams in _SLICES slices, each made by one task."""
+
+    def fill(table: pa.Table) -> pa.Table:
+        gram = table.column("gram").to_numpy()
+        bits = np.zeros(1 << _SLICE_BITS, bool)
+        for at in _bits(gram):
+            bits[at] = True
+        return pa.table({"slice": pa.array([int(gram[0]) % _SLICES], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    made = grams.select(F.pmod("gram", F.lit(_SLICES)).cast("int").alias("slice"), "gram").groupBy("slice").applyInArrow(fill, "slice int, bits binary")
+    return {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in made.collect()}
+
+
+def _joined_scores(docs: DataFrame, model: DataFrame, head_rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
+    """By a join of each text's grams with the sharded model, for models too large to broadcast. docs: key_, text_; key_ tells rows apart.
+
+    The head (the words that weigh most, so mostly the frequent) is looked up in place, and a filter keeps grams the model lacks from
+    moving; both decide what is moved, never a score. Each row has an id of its own here, so repeated and null keys are scored row by row.
+    """
+    head_rows, filter_rows = HEAD_ROWS if head_rows is None else head_rows, FILTER_ROWS if filter_rows is None else filter_rows
+    spark = docs.sparkSession
+    table = written(additive(model), "additive")
+    unknown = float(model.where("order = 0").first()["v"])
+    bloom = _filter(table) if table.count() <= filter_rows else None
+    words = table.where("gram < 0").orderBy(F.desc(F.abs("v")), "gram").limit(head_rows).toArrow()
+    shared = spark.sparkContext.broadcast((words.column("gram").to_numpy(), words.column("v").to_numpy(), bloom))
+
+    def known(g: np.ndarray, bloom: dict[int, np.ndarray]) -> np.ndarray:
+        out, part, spots = np.zeros(len(g), bool), g % _SLICES, _bits(g)
+        by = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[by], np.arange(_SLICES + 1))
+        for s in bloom:
+            mine = by[ends[s] : ends[s + 1]]
+            hit = np.ones(len(mine), bool)
+            for b in spots:
+                hit &= (bloom[s][b[mine] >> 3] >> (7 - (b[mine] & 7)).astype(np.uint8) & 1).astype(bool)
+            out[mine] = hit
+        return out
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram_, v_, bloom = shared.value
+        head, next_ = _Table(gram_, v_), TaskContext.get().partitionId() << 40
         for batch in batches:
-            keys = batch.column("key_").to_numpy(zero_copy_only=False)
-            for gram, who in _coded(batch.column("text_").to_pylist()):
-                order = np.lexsort((gram, who))
-                g, w = gram[order], who[order]
-                first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[w[first]]), pa.array(g[first]), pa.array(np.diff(np.r_[first, len(g)]))], names=["key_", "gram", "c"])
-
-    grams = docs.select("key_", "text_").mapInArrow(split, "key_ bigint, gram bigint, c bigint")
-    unknown = model.where("order = 0").first()["v"]
-    value = F.lit(unknown)
-    for k in range(1, ORDER + 1):
-        seen = model.where((F.col("order") == k) & F.col("seen")).select(F.col("gram").alias(f"g{k}"), F.col("v").alias(f"s{k}"))
-        grams = grams.join(seen, F.col("gram").bitwiseAND(_mask(k)) == F.col(f"g{k}"), "left")
-        if k > 1:
-            back = model.where((F.col("order") == k) & ~F.col("seen")).select(F.col("gram").alias(f"h{k}"), F.col("v").alias(f"b{k}"))
-            grams = grams.join(back, F.shiftright(F.col("gram").bitwiseAND(_mask(k)), BITS) == F.col(f"h{k}"), "left")
-            value = F.coalesce(F.lit(0.0) + F.col(f"b{k}"), F.lit(0.0)) + value
-        value = F.coalesce(F.col(f"s{k}"), value)
-    sums = grams.groupBy("key_").agg(F.sum(F.col("c") * value).alias("log_p"), F.sum("c").alias("n_grams"))
-    return docs.drop("text_").join(sums, "key_")
+            size = batch.num_rows
+            total, n = np.zeros(size), np.zeros(size, np.int64)
+            for gram, who in _word_coded(batch.column("text_").to_pylist()):
+                if not len(gram):
+                    continue
+                n += np.bincount(who, minlength=size)
+                for x in (gram, -1 - (gram & _EDGE_WORD)):
+                    if x[0] < 0:
+                        v, found = head.get(x)
+                        total += np.bincount(who, v, size)
+                        x, y = x[~found], who[~found]
+                    else:
+                        y = who
+                    if bloom is not None:
+                        in_ = known(x, bloom)
+                        x, y = x[in_], y[in_]
+                    o = np.lexsort((x, y))
+                    x, y = x[o], y[o]
+                    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(next_ + y[first]), pa.array(x[first]), pa.array(np.diff(np.r_[first, len(x)]).astype(np.int32)), pa.nulls(len(first), own)], names=names)
+            mine = pa.StructArray.from_arrays([batch.column("key_").cast(pa.int64()), batch.column("lang").cast(pa.string()), pa.array(total + n * unknown), pa.array(n)], fields=list(own))
+            ids = np.arange(next_, next_ + size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids | (1 << 62)), pa.array(np.zeros(size, np.int32)), mine], names=names)  # beyond all pairs, so that these rows are spread
+            next_ += size
+
+    own = pa.struct([("key_", pa.int64()), ("lang", pa.string()), ("s", pa.float64()), ("n", pa.int64())])
+    names = ["row", "gram", "c", "own"]
+    parts = docs.select("key_", "lang", "text_").mapInArrow(split, "row bigint, gram bigint, c int, own struct<key_: bigint, lang: string, s: double, n: bigint>")
+    sums = parts.join(table.withColumnRenamed("gram", "gram_"), F.col("gram") == F.col("gram_"), "left").groupBy("row").agg(F.first("own", True).alias("own"), F.sum(F.col("c") * F.coalesce("v", F.lit(0.0))).alias("more"))
+    return sums.select("own.key_", "own.lang", (F.col("own.s") + F.col("more")).alias("log_p"), F.col("own.n").alias("n_grams"))
 
 
 def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", id_: str = "doc_id", lang: str = "lang", model_rows: int = MODEL_ROWS) -> DataFrame:
     """doc_id, lang, log_p, n_grams, perplexity. An empty or null text has one gram, its end."""
     rows = docs.select(F.col(f"`{id_}`").cast("long").alias("key_"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"), body(f"`{text}`").alias("text_"))
-    scored = _scores(rows, model) if model.count() <= model_rows else _joined_scores(rows, model)
+    scored = _scores(rows, model, WORDS) if model.count() <= model_rows else _joined_scores(rows, model)
     return scored.select(F.col("key_").alias("doc_id"), "lang", "log_p", "n_grams", F.exp(-F.col("log_p") / F.col("n_grams")).alias("perplexity"))
 
 
@@ -256,14 +433,21 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     """One row per document: doc_id, lang, n_grams, perplexity, threshold, kept.
 
     The model is trained on all documents that labels has as good and not toxic. Null texts count as empty; a null language is one of its own.
+    Thresholds come from held-out scores: each trusted document's under a model of the other half, halves by the text, so that equal ones are in one.
     A language without trusted documents takes the threshold over all; without any, nothing is rejected. Null ids are scored and never trusted;
     repeated rows are scored alike. labels may hold ids that docs lacks.
     """
     good = written(trusted_ids(labels), "trusted")
-    some = docs.join(if_small(good), F.col(f"`{id_}`") == F.col("trusted_"), "left_semi")
-    model = train(some.select(body(f"`{text}`").alias("text_")))
+    half = F.pmod(F.xxhash64(body(f"`{text}`")), F.lit(2)).cast("int")
+    some = docs.join(if_small(good), F.col(f"`{id_}`") == F.col("trusted_"), "left_semi").withColumn("half_", half)
+    counts = written(gram_counts(some.select(F.col("half_").alias("half"), body(f"`{text}`").alias("text_")), WORDS), "gram-counts")
+    model = model_of(written(counts.groupBy("gram").agg(F.sum("c").alias("c")), "gram-counts"), WORDS)
     scored = written(perplexities(docs, model, text, id_, lang, model_rows), "perplexities")
-    own = scored.join(if_small(good), F.col("doc_id") == F.col("trusted_"), "left_semi")
+    own = None
+    for h in (0, 1):
+        other = model_of(counts.where(F.col("half") == 1 - h).select("gram", "c"), WORDS)
+        part = written(perplexities(some.where(F.col("half_") == h), other, text, id_, lang, model_rows), "held-out")
+        own = part if own is None else own.unionByName(part)
     cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
     by_lang = own.groupBy("lang").agg(cut.alias("own_"))
     over_all = own.agg(cut.alias("all_")).first()["all_"]
