@@ -6,8 +6,8 @@ it takes 31 bits of a hash, so a pair is one long. Counting is map-side first; c
 and the interpolated probabilities are joined as tables that are sharded by gram.
 A text's perplexity is looked up gram by gram, backing off where the model lacks one: in a broadcast copy of
 the model as long as that is no larger than a checked bound, beyond it by a join of the texts' grams with the
-sharded tables. A document is rejected if its perplexity is above its language's threshold, a quantile of the
-trusted documents' own, each scored by a model of the half of them that it isn't in.
+sharded tables. A document is rejected if its perplexity is above its language's threshold for its length, from a
+quantile of the trusted documents' own deviations, each scored by a model of the half of them that it isn't in.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, if_small, written
@@ -29,8 +30,8 @@ ORDER, BITS = 4, 12
 _EDGE, _FOLDED = (1 << BITS) - 1, 3840
 #: Signs that are coded at once; rows of the model (16 bytes each) that may be broadcast.
 CHUNK, MODEL_ROWS = 500_000, 4_000_000
-#: A language's threshold is this quantile of its trusted documents, times MARGIN.
-QUANTILE, MARGIN = 0.995, 1.2
+#: Thresholds are at this quantile of a language's trusted documents; OWN_DOCS of them are needed for a language to have its own.
+QUANTILE, OWN_DOCS = 0.995, 30
 _EDGE_SIGN = "\U0010ffff"
 _WORD_BITS = 31
 _EDGE_WORD = (1 << _WORD_BITS) - 1
@@ -429,12 +430,15 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("trusted_")).distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, text: str = "text", id_: str = "doc_id", lang: str = "lang", model_rows: int = MODEL_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, text: str = "text", id_: str = "doc_id", lang: str = "lang", model_rows: int = MODEL_ROWS) -> DataFrame:
     """One row per document: doc_id, lang, n_grams, perplexity, threshold, kept.
 
     The model is trained on all documents that labels has as good and not toxic. Null texts count as empty; a null language is one of its own.
     Thresholds come from held-out scores: each trusted document's under a model of the other half, halves by the text, so that equal ones are in one.
-    A language without trusted documents takes the threshold over all; without any, nothing is rejected. Null ids are scored and never trusted;
+    The surprise per word (log perplexity) of n words has a mean of a + b / n and a variance of c + d / n, both fitted to these; the threshold
+    is at the quantile of the deviations in units of that, so that short texts don't raise the bar for long ones. Too few documents to show
+    the quantile (n < 1 / (1 - quantile)) give at least the normal law's, widened by sqrt(1 + 1 / n).
+    A language of fewer than OWN_DOCS trusted documents takes the fit over all; without any, nothing is rejected. Null ids are scored and never trusted;
     repeated rows are scored alike. labels may hold ids that docs lacks.
     """
     good = written(trusted_ids(labels), "trusted")
@@ -448,13 +452,48 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         other = model_of(counts.where(F.col("half") == 1 - h).select("gram", "c"), WORDS)
         part = written(perplexities(some.where(F.col("half_") == h), other, text, id_, lang, model_rows), "held-out")
         own = part if own is None else own.unionByName(part)
-    cut = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_lang = own.groupBy("lang").agg(cut.alias("own_"))
-    over_all = own.agg(cut.alias("all_")).first()["all_"]
-    out = scored.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own_", F.lit(over_all).cast("double")))
+    by_lang = _fit(own, ["lang"], quantile).where(F.col("docs_") >= OWN_DOCS)
+    over_all = _fit(own, [], quantile).select(*(F.col(c).alias(f"{c}all_") for c in _FIT))
+    out = scored.join(F.broadcast(by_lang), "lang", "left").join(F.broadcast(over_all), how="left")
+    a, b, c, d, z = (F.when(F.col("docs_").isNotNull(), F.col(x)).otherwise(F.col(f"{x}all_")) for x in _FIT)
+    out = out.withColumn("threshold", F.exp(_mean(a, b) + z * _spread(c, d)))
     return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
 
 
+_FIT = ("a_", "b_", "c_", "d_", "z_")
+
+
+def _mean(a: Column, b: Column) -> Column:
+    return a + b / F.col("n_grams")
+
+
+def _spread(c: Column, d: Column) -> Column:
+    return F.sqrt(c + d / F.col("n_grams"))
+
+
+def _fit(scored: DataFrame, by: list[str], quantile: float) -> DataFrame:
+    """docs_ and the numbers of _FIT, by language or in one row; null without documents."""
+    y, x = F.log("perplexity"), 1.0 / F.col("n_grams")
+    slope = lambda v: F.coalesce(F.regr_slope(v, x), F.lit(0.0))
+    rows = scored.withColumn("y_", y)
+
+    def with_(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(numbers), by) if by else rows.join(F.broadcast(numbers))
+
+    means = rows.groupBy(*by).agg(F.count("*").alias("docs_"), slope(F.col("y_")).alias("b_"), F.avg("y_").alias("y0_"), F.avg(x).alias("x0_"))
+    means = means.select(*by, "docs_", "b_", (F.col("y0_") - F.col("b_") * F.col("x0_")).alias("a_"))
+    rows = with_(rows, means).withColumn("r_", F.pow(F.col("y_") - _mean(F.col("a_"), F.col("b_")), 2))
+    # neither part of the variance may be negative: then the other one takes all
+    parts = rows.groupBy(*by).agg(slope(F.col("r_")).alias("d_"), F.avg("r_").alias("r0_"), F.avg(x).alias("x0_"))
+    c = F.col("r0_") - F.col("d_") * F.col("x0_")
+    parts = parts.select(*by, F.when(F.col("d_") < 0, F.col("r0_")).when(c < 0, 0.0).otherwise(c).alias("c_"), F.when(F.col("d_") < 0, 0.0).when(c < 0, F.col("r0_") / F.col("x0_")).otherwise(F.col("d_")).alias("d_"))
+    z = F.try_divide(F.col("y_") - _mean(F.col("a_"), F.col("b_")), _spread(F.col("c_"), F.col("d_")))
+    tops = with_(rows, parts).groupBy(*by).agg(F.coalesce(F.percentile_approx(z, quantile, 10_000), F.lit(0.0)).alias("q_"))
+    out = means.join(parts, by).join(tops, by) if by else means.join(parts).join(tops)
+    few = F.lit(NormalDist().inv_cdf(quantile)) * F.sqrt(1 + 1 / F.col("docs_"))
+    return out.withColumn("z_", F.when(F.col("docs_") * (1 - quantile) < 1, F.greatest("q_", few)).otherwise(F.col("q_"))).select(*by, "docs_", *_FIT)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> DataFrame:
     """The rows of docs that classify() keeps, whole. Rows with a null id stay."""
     gone = written(classify(docs, labels, text=text, id_=id_, lang=lang).where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "rejected")

@@ -103,3 +103,16 @@ def test_shuffled_words_are_rejected(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 80, 2)], "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r["kept"] for r in quality_lm.classify(frame(spark, texts + junk), labels).collect()}
     assert sum(got[i] for i in range(80)) >= 78 and not any(got[i] for i in range(80, 88))
+
+
+def test_short_texts_do_not_raise_the_bar_for_long_ones(spark):
+    """Trusted texts of one or two odd words are of high perplexity; long junk of less than theirs is rejected all the same."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeilnorst", k=rng.randint(3, 6))) for _ in range(60)]
+    long = [" ".join(rng.choices(words, k=200)) for _ in range(60)]
+    short = ["".join(rng.choices("uvwxyz", k=7)) + "." for _ in range(20)]
+    junk = [" ".join("".join(rng.choices("fghjkmpq", k=6)) if rng.random() < 0.2 else rng.choice(words) for _ in range(200)) for _ in range(6)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_lm.classify(frame(spark, long + short + junk), labels).collect()}
+    assert all(got[i]["kept"] for i in range(80)) and not any(got[i]["kept"] for i in range(80, 86))
+    assert max(got[i]["threshold"] for i in range(60)) < min(got[i]["threshold"] for i in range(60, 80))
