@@ -148,7 +148,7 @@ _add("dependency_depth", lambda g, p: g.dependency_depth(p, "extends"), ", r(pat
 _WAY = ", r(path, d) AS (SELECT p, 0 FROM {0} UNION SELECT e.dst, d + 1 FROM r JOIN {1} e ON e.src = r.path WHERE d < {2}), far AS (SELECT path FROM r GROUP BY path ORDER BY min(d) DESC, path LIMIT 1), w(path, trail) AS (SELECT p, [p] FROM {0} UNION ALL SELECT e.dst, list_append(trail, e.dst) FROM w JOIN {1} e ON e.src = w.path WHERE len(trail) <= (SELECT min(d) FROM r WHERE path = (SELECT path FROM far))), best AS (SELECT min(trail) AS t FROM w WHERE path = (SELECT path FROM far) AND len(trail) = 1 + (SELECT min(d) FROM r WHERE path = (SELECT path FROM far))) SELECT CAST(i - 1 AS INTEGER) AS pos, t[i] AS path FROM best, generate_series(1, len(t)) s(i)"
 
 
-def _farthest(g: SymbolGraph, start: str, kind: str, depth: int) -> str:
+def _farthest(g: SymbolGraph, start: str, kind: str, depth: int | None) -> str:
     from ..operators.reach import bfs
 
     return bfs(g._rows([start]), g.kind(kind), depth).orderBy(F.desc("depth"), "path").first()["path"]
@@ -202,6 +202,22 @@ ways AS (SELECT w.a, w.b, w.d, w.n FROM w JOIN dist USING (a, b, d)),
 s AS (SELECT l.b AS path, sum(l.n * r.n / t.n) AS s FROM ways l JOIN ways r ON r.a = l.b JOIN ways t ON t.a = l.a AND t.b = r.b AND t.d = l.d + r.d WHERE l.a <> r.b GROUP BY l.b)
 SELECT path, round(coalesce(s, 0) / (((SELECT count(*) FROM sym) - 1) * ((SELECT count(*) FROM sym) - 2)), 12) AS score FROM sym LEFT JOIN s USING (path)""", many=True)
 
+# The same over the whole calls graph, the operators' default; a statement only where it stays cheap there
+_add("articulation_points__calls", lambda g: g.articulation_points(), None, many=True)
+_add("bridge_edges__calls", lambda g: g.bridge_edges(), None, many=True)
+_add("biconnected_components__calls", lambda g: g.biconnected_components(), None, many=True)
+_add("closeness__calls", lambda g: g.closeness().select("path", F.round("score", 12).alias("score")), None, many=True)
+_add("betweenness__calls", lambda g: g.betweenness().select("path", F.round("score", 12).alias("score")), None, many=True)
+_add("reachable_set__calls", lambda g, p: g.reachable_set(p), _ALL.format("caller", "src", "dst", "calls") + " SELECT path FROM r WHERE path NOT IN (SELECT p FROM caller)", "caller")
+_add("reaches_into__calls", lambda g, p: g.reaches_into(p), _ALL.format("callee", "dst", "src", "calls") + " SELECT path FROM r WHERE path NOT IN (SELECT p FROM callee)", "callee")
+_add("common_reachable__calls", lambda g, a, b: g.common_reachable(a, b), ", a(path) AS (SELECT p FROM caller UNION SELECT e.dst FROM a JOIN calls e ON e.src = a.path), b(path) AS (SELECT p FROM callee UNION SELECT e.dst FROM b JOIN calls e ON e.src = b.path) SELECT path FROM a WHERE path IN (SELECT path FROM b) AND path NOT IN (SELECT p FROM caller UNION ALL SELECT p FROM callee)", "caller", "callee")
+_add("mutual_reachability__calls", lambda g, a, b: g.mutual_reachability(a, b), None, "caller", "callee")
+_add("eccentricity__calls", lambda g, p: g.eccentricity(p), None, "caller")
+_add("harmonic__calls", lambda g, p: g.harmonic(p), None, "caller")
+_add("dependency_layers__calls", lambda g: g.dependency_layers(), None, many=True)
+_add("dependency_depth__calls", lambda g, p: g.dependency_depth(p), None, "callee")
+_add("shortest_path__calls", lambda g, p: g.shortest_path(p, _farthest(g, p, "calls", None)), None, "caller")
+
 # Selectors
 _ROW = ", nth AS (SELECT path, row_number() OVER (PARTITION BY parent_path ORDER BY path) AS k, count(*) OVER (PARTITION BY parent_path) AS n FROM sym)"
 for _name, _expr, _sql in (
