@@ -268,6 +268,20 @@ def _merged(g: SymbolGraph) -> DataFrame:
 _add("merge", _merged, "SELECT path, node_kind FROM nodes WHERE right(path, 1) IN ('1', '2', '3')", many=True)
 
 
+def _merged_whole(g: SymbolGraph) -> DataFrame:
+    """Nodes and edges of three merged parts that cover the graph: each file is in two of them, an edge where its source is."""
+    def part(k: int) -> SymbolGraph:
+        mine = lambda c: F.pmod(F.crc32(paths.file_of(F.col(c))), F.lit(3)).isin(k, (k + 1) % 3)
+        return SymbolGraph(g.base_nodes.where(mine("path")), g.edges.where(mine("src")))
+
+    out = part(0).merge(part(1)).merge(part(2))
+    nodes = out.nodes.select(F.lit("node").alias("what"), F.col("node_kind").alias("kind"), F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"))
+    return nodes.unionByName(out.edges.select(F.lit("edge").alias("what"), "kind", "src", "dst"))
+
+
+_add("merge__whole", _merged_whole, "SELECT 'node' AS what, node_kind AS kind, path AS src, NULL AS dst FROM nodes UNION ALL SELECT 'edge', kind, src, dst FROM edges", many=True)
+
+
 def _stubbed(g: SymbolGraph) -> SymbolGraph:
     """Calls to members whose number ends in 7 go to a bare stub of the same name."""
     name = paths.name_of(F.col("dst"))
