@@ -37,6 +37,20 @@ def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.symbol_delta(e.where("seq % 2 = 0"), e.where("seq % 3 = 0"))
 
 
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The states before and after, of all events: before, what came up to the middle of seq and all that is removed; after, all that is upserted."""
+    e = _events(spark, sf_dir)
+    middle = e.agg(F.floor(F.max("seq") / 2).alias("m")).first()["m"]
+    return e.where(F.coalesce(F.col("seq") <= F.lit(middle), F.lit(False)) | (F.col("op") == "remove")), e.where("op = 'upsert'")
+
+
+_WHOLE = _EVENTS.replace("WHERE seq % 2 = 0", "WHERE seq <= (SELECT max(seq) // 2 FROM ev) OR op = 'remove'").replace("WHERE seq % 3 = 0", "WHERE op = 'upsert'")
+
+
+def _delta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deltas.symbol_delta(*_states(spark, sf_dir))
+
+
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
     QUERIES[name] = run
     if sql:
@@ -57,6 +71,20 @@ def set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("set_summary", set_summary, _EVENTS + ", r AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY path) AS k FROM d) SELECT count(*) FILTER (change = 'added') AS n_added, count(*) FILTER (change = 'removed') AS n_removed, string_agg(path, ' | ' ORDER BY path) FILTER (change = 'added' AND k <= 50) AS added, string_agg(path, ' | ' ORDER BY path) FILTER (change = 'removed' AND k <= 50) AS removed FROM r")
+
+
+def set_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = deltas.set_summary(*(s.select("path") for s in _states(spark, sf_dir)))
+    return out.withColumns({c: F.array_join(c, " | ") for c in ("added", "removed")})
+
+
+# The same over states that all events take part in
+_add("symbol_delta__whole", _delta_whole, SQL["symbol_delta"].replace(_EVENTS, _WHOLE))
+_add("match_files__whole", lambda s, d: deltas.match_files(_delta_whole(s, d), ["src/u1*.py"]), SQL["match_files"].replace(_EVENTS, _WHOLE))
+_add("match_symbols__whole", lambda s, d: deltas.match_symbols(_delta_whole(s, d), ["src/*>click_?"]), SQL["match_symbols"].replace(_EVENTS, _WHOLE))
+_add("delta_caps__whole", lambda s, d: deltas.delta_caps(_delta_whole(s, d), 3, 16).withColumn("paths", F.array_join("paths", " | ")), SQL["delta_caps"].replace(_EVENTS, _WHOLE))
+_add("push_graph_changed__whole", lambda s, d: deltas.graph_changed(_delta_whole(s, d).withColumn("batch_seq", F.lit(1))).withColumn("changed_files", F.array_join("changed_files", " | ")), SQL["push_graph_changed"].replace(_EVENTS, _WHOLE))
+_add("set_summary__whole", set_summary_whole, SQL["set_summary"].replace(_EVENTS, _WHOLE))
 _add("result_hash", lambda s, d: deltas.result_hash(_events(s, d).select("path")), _EVENTS + "SELECT sha256(string_agg(path, chr(10) ORDER BY path)) AS hash FROM (SELECT DISTINCT path FROM ev)")
 
 

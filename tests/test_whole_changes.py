@@ -9,7 +9,7 @@ from symloom.plans import catalog, catalog_changes
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
-NAMES = ["merge__whole"]
+NAMES = ["merge__whole", "symbol_delta__whole", "match_files__whole", "match_symbols__whole", "delta_caps__whole", "push_graph_changed__whole", "set_summary__whole"]
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +27,8 @@ def test_same_rows(spark, duck, name):
     cols = [c[0] for c in theirs.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted(theirs.fetchall(), key=repr)
+
+
+def test_every_event_is_in_a_state(spark):
+    old, new = catalog_changes._states(spark, DIR)
+    assert old.select("seq").union(new.select("seq")).distinct().count() == catalog_changes._events(spark, DIR).count()
