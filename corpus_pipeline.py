@@ -59,7 +59,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
-#: The model and the tokenizer aren't SQL; the tests hold run() against a brute-force version.
+#: The model and the tokenizer aren't SQL; the tests hold run() against the stages one by one, and of these exact and pack against plain checks; there is no brute-force version of all five.
 ORACLE_SQL = None
 
 
