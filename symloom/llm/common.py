@@ -17,9 +17,11 @@ END_ID = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset (as in tests) a local one is made and set."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset and driver and executors are one process (as in tests) a local one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="symloom-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -55,12 +57,32 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, and survives lost executors. Its shuffle files go at once."""
     spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = fresh_path(spark, what), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, [table.written_at])
+
+
+def pinned(df: DataFrame, what: str) -> DataFrame:
+    """df with partitions that hold the same rows in the same order whenever they are made again: itself if it only reads files, else as a written table."""
+    return written(df, what) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def body(col: str = "text") -> Column:

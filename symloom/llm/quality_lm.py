@@ -1,22 +1,24 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The grams are pairs of words (WORDS), so what is counted grows with the text; grams of signs (SIGNS) are the other coding.
-A word is a run of letters and digits, any other sign that is no white space, or one sign of a script without word breaks;
-it takes 31 bits of a hash, so a pair is one long. Counting is map-side first; counts, continuation counts, context totals
-and the interpolated probabilities are joined as tables that are sharded by gram.
-A text's perplexity is looked up gram by gram, backing off where the model lacks one: in a broadcast copy of
-the model as long as that is no larger than a checked bound, beyond it by a join of the texts' grams with the
-sharded tables. A document is rejected if its perplexity is above its language's threshold for its length, from a
-quantile of the trusted documents' own deviations, each scored by a model of the half of them that it isn't in.
+The grams are pairs of words, so what is counted grows with the text. A word is a run of letters and digits, any other
+sign that is no white space, or one sign of a script without word breaks; it takes 31 bits of a hash, so a pair is one long.
+Counts of pairs are sharded by pair; continuation counts and context totals are aggregated from them.
+
+The model is one table of what each known word and pair adds to a text's log probability over that of as many unknown
+words (see additive()), and a text's perplexity comes from one join of its grams with that table, sharded by gram. Two things
+keep rows from moving there and change no score: the most frequent words and pairs (HEAD_ROWS of each at most) are looked up
+where the text is, and so is, in a Bloom filter, whether the table has a gram at all.
+
+One trusted document in HELD_OUT doesn't train the model. A document is rejected if its perplexity is above its
+language's threshold for its length, from a quantile of these held-out documents' deviations.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,68 +26,24 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, if_small, written
+from .common import body, discard, if_small, pinned, written
 
-ORDER, BITS = 4, 12
-_EDGE, _FOLDED = (1 << BITS) - 1, 3840
-#: Signs that are coded at once; rows of the model (16 bytes each) that may be broadcast.
-CHUNK, MODEL_ROWS = 500_000, 4_000_000
-#: Thresholds are at this quantile of a language's trusted documents; OWN_DOCS of them are needed for a language to have its own.
+#: Signs that are coded at once.
+CHUNK = 250_000
+#: One trusted document in so many only serves to set thresholds.
+HELD_OUT = 5
+#: Thresholds are at this quantile of a language's held-out documents; OWN_DOCS of them are needed for a language to have its own.
 QUANTILE, OWN_DOCS = 0.995, 30
+#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of the rest up to which there is a filter of them (32 MB).
+HEAD_ROWS, FILTER_ROWS = 1_000_000, 64_000_000
+#: Grams that a task counts before it sends them on.
+HELD_GRAMS = 4_000_000
 _EDGE_SIGN = "\U0010ffff"
 _WORD_BITS = 31
 _EDGE_WORD = (1 << _WORD_BITS) - 1
-#: Of a model too large to broadcast: its most frequent grams that are, and its rows up to which a filter of all of them is (32 MB).
-HEAD_ROWS, FILTER_ROWS = 400_000, 64_000_000
 _SLICES, _SLICE_BITS = 61, 22
 
 
-class Coding(NamedTuple):
-    """What a gram is made of: signs or words to a gram, bits of each, and code(texts) -> (grams, text each belongs to) in chunks."""
-
-    order: int
-    bits: int
-    code: Callable
-
-    def mask(self, order: int) -> int:
-        return (1 << (self.bits * order)) - 1
-
-
-def _coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(grams, text each belongs to) in chunks: one gram for each sign and one for the end. Long texts are cut into overlapping parts."""
-    lead = _EDGE_SIGN * (ORDER - 1)
-    held: list[str] = []
-    owner: list[int] = []
-    size = 0
-
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "<u4")
-        sign = np.where(raw < _FOLDED, raw, _FOLDED + raw % (_EDGE - _FOLDED)).astype(np.int64)
-        sign[raw == 0x10FFFF] = _EDGE
-        gram = sign[ORDER - 1 :].copy()
-        for k in range(1, ORDER):
-            gram |= sign[ORDER - 1 - k : len(sign) - k] << (BITS * k)
-        lengths = np.array([len(h) for h in held])
-        ends = np.cumsum(lengths)
-        good = np.ones(len(sign), bool)  # a part's first ORDER - 1 signs are context only
-        for k in range(ORDER - 1):
-            good[ends - lengths + k] = False
-        who = np.repeat(np.array(owner, np.int64), lengths)
-        return gram[good[ORDER - 1 :]], who[good]
-
-    for i, text in enumerate(texts):
-        text = lead + text + _EDGE_SIGN
-        for a in range(ORDER - 1, len(text), CHUNK):
-            held.append(text[a - ORDER + 1 : a + CHUNK])
-            owner.append(i)
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield flush()
-                held, owner, size = [], [], 0
-    if held:
-        yield flush()
-
-
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """By code point. 0: white space; 1: part of a word; 2: a word of its own (punctuation, ideographs and the like, the edge)."""
@@ -120,7 +78,7 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return code, first
 
 
-def _word_coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_pairs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of words, with the edge before the first and after the last. A long text is cut at white space, and only a word longer than CHUNK inside."""
     held: list[str] = []
     owner: list[int] = []
@@ -163,9 +121,6 @@ def _word_coded(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
-SIGNS, WORDS = Coding(ORDER, BITS, _coded), Coding(2, _WORD_BITS, _word_coded)
-
-
 def _reduced(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -173,27 +128,30 @@ def _reduced(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def gram_counts(texts: DataFrame, coding: Coding = SIGNS) -> DataFrame:
-    """half, gram, c over a table of texts (text_ or the only column) and the half that each is in (0 without such a column): each task adds up its own before the shuffle."""
-    code, halves = coding.code, "half" in texts.columns
-    texts = texts.select("half", "text_") if halves else texts.select(F.lit(0).alias("half"), texts[texts.columns[0]].alias("text_"))
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """gram, c over a one-column table of texts: each task adds up its own before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {h: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for h in (0, 1)}
-        rows = lambda h: pa.RecordBatch.from_arrays([pa.array(np.full(len(kept[h][0]), h, np.int32)), *map(pa.array, kept[h])], names=["half", "gram", "c"])
+        codes, counts = none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "c"])
+        waiting, size = [], 0
         for batch in batches:
-            half, all_ = batch.column("half").to_numpy(zero_copy_only=False), batch.column("text_").to_pylist()
-            for h in (0, 1):
-                for gram, _ in code([all_[i] for i in np.flatnonzero(half == h)]):
-                    u, c = np.unique(gram, return_counts=True)
-                    codes, counts = kept[h]
-                    kept[h] = _reduced(np.concatenate([codes, u]), np.concatenate([counts, c]))
-                    if len(kept[h][0]) > 4_000_000:
-                        yield rows(h)
-                        kept[h] = codes[:0], counts[:0]
-        yield from map(rows, kept)
-
-    return texts.mapInArrow(count, "half int, gram bigint, c bigint").groupBy("half", "gram").agg(F.sum("c").alias("c"))
+            for gram, _ in word_pairs(batch.column(0).to_pylist()):
+                waiting.append(gram)
+                size += len(gram)
+                if size >= HELD_GRAMS:
+                    u, c = np.unique(np.concatenate(waiting), return_counts=True)
+                    codes, counts = _reduced(np.concatenate([codes, u]), np.concatenate([counts, c]))
+                    waiting, size = [], 0
+                    if len(codes) > HELD_GRAMS:
+                        yield rows()
+                        codes, counts = none
+        if waiting:
+            u, c = np.unique(np.concatenate(waiting), return_counts=True)
+            codes, counts = _reduced(np.concatenate([codes, u]), np.concatenate([counts, c]))
+        yield rows()
+
+    return texts.mapInArrow(count, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -207,44 +165,59 @@ def _discounts(grams: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))  # type: ignore[return-value]
 
 
-def train(texts: DataFrame, coding: Coding = SIGNS) -> DataFrame:
-    """The model of a one-column table of trusted texts, as a written table."""
-    return model_of(written(gram_counts(texts, coding).select("gram", "c"), "gram-counts"), coding)
+def _off(c: str, d: tuple[float, float, float]) -> Column:
+    return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+
+
+def _head(table: DataFrame, rows: int) -> int:
+    """The least c of which, with all above, there are at most so many rows in the table."""
+    upto, least = 0, None
+    by = table.groupBy(F.least("c", F.lit(HEAD_ROWS)).alias("c")).agg(F.count("*").alias("n"))  # no more counts than HEAD_ROWS
+    for r in by.orderBy(F.desc("c")).toLocalIterator():
+        upto += r["n"]
+        if upto > rows:
+            break
+        least = r["c"]
+    return (1 << 62) if least is None else least
 
 
-def model_of(top: DataFrame, coding: Coding) -> DataFrame:
-    """The model of written counts of the longest grams (gram, c), as a written table.
+def additive(pairs: DataFrame, head_rows: int | None = None) -> tuple[DataFrame, float]:
+    """The model of a written table of pair counts (gram, c): a written table gram, c, v, and the log probability of an unknown word.
 
-    Rows: order, seen (a gram's log probability) or not (a context's log weight of backing off), gram, v. The one row of order 0 holds
-    what an unknown sign gets. No texts give only that row.
+    A text's log probability is that of as many unknown words, plus the v of each of its words (gram: -1 - word) and pairs that are in the
+    table. For each word is the last of one pair and the first of one (the edge, too): what it has as last, by the lower order, and its
+    weight of backing off as context are one number, and a pair that is known corrects its two words' sum. c tells what is frequent.
     """
-    order, bits = coding.order, coding.bits
-    by_order = {order: top}
-    for k in range(order - 1, 0, -1):
-        by_order[k] = written(by_order[k + 1].groupBy(F.col("gram").bitwiseAND(coding.mask(k)).alias("gram")).agg(F.count("*").alias("c")), f"grams-{k}")
-    ones = by_order[1].agg(F.count("*").alias("v"), F.sum("c").alias("t")).first()
-    signs, total = ones["v"] + 1, ones["t"] or 0
-    lower, parts = None, []
-    for k in range(1, order + 1):
-        grams, d = by_order[k], _discounts(by_order[k])
-        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        each = grams.withColumn("context", F.shiftright("gram", bits)).withColumn("off", off)
-        contexts = each.groupBy("context").agg(F.sum("c").cast("double").alias("total"), (F.sum("off") / F.sum("c")).alias("weight"))
-        if k == 1:
-            row = contexts.first()
-            unknown = (row["weight"] if row else 1.0) / signs
-            now = each.select("gram", ((F.col("c") - F.col("off")) / F.lit(float(total or 1)) + F.lit(unknown)).alias("p"))
-            parts.append(top.sparkSession.range(1).select(F.lit(0).alias("order"), F.lit(True).alias("seen"), F.lit(0).cast("long").alias("gram"), F.lit(float(np.log(unknown))).alias("v")))
-        else:
-            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            now = each.join(contexts, "context").withColumn("suffix", F.col("gram").bitwiseAND(coding.mask(k - 1))).join(below, "suffix").select("gram", ((F.col("c") - F.col("off")) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
-            parts.append(contexts.select(F.lit(k).alias("order"), F.lit(False).alias("seen"), F.col("context").alias("gram"), F.log("weight").alias("v")))
-        lower = written(now, f"probabilities-{k}")
-        parts.append(lower.select(F.lit(k).alias("order"), F.lit(True).alias("seen"), "gram", F.log("p").alias("v")))
-    model = parts[0]
-    for p in parts[1:]:
-        model = model.unionByName(p)
-    return written(model, "model")
+    head_rows = HEAD_ROWS if head_rows is None else head_rows
+    d2 = _discounts(pairs)
+    each = pairs.withColumn("h", F.shiftright("gram", _WORD_BITS)).withColumn("w", F.col("gram").bitwiseAND(_EDGE_WORD))
+    last = each.groupBy(F.col("w").alias("word")).agg(F.count("*").alias("k"))
+    first = each.groupBy(F.col("h").alias("word")).agg(F.sum("c").alias("c"), F.sum(_off("c", d2)).alias("off"))
+    counts = written(last.join(first, "word"), "word-counts")  # every word is both
+    d1 = _discounts(counts.select(F.col("k").alias("c")))
+    ones = counts.agg(F.count("*").alias("v"), F.sum("k").alias("t"), F.sum(_off("k", d1)).alias("off")).first()
+    total = float(ones["t"] or 1)
+    unknown = (ones["off"] / total if ones["v"] else 1.0) / (ones["v"] + 1)
+    words = counts.select("word", "c", "off", ((F.col("k") - _off("k", d1)) / F.lit(total) + F.lit(unknown)).alias("p"))
+    # (c - d) / total + off / total * p, over what the words alone give, off / total * p
+    v = F.log1p((F.col("c") - _off("c", d2)) / (F.col("off") * F.col("p")))
+    some = words.where(F.col("c") >= _head(words, head_rows))
+    near = each.join(F.broadcast(some.select(F.col("word").alias("h"), "off")), "h", "left").join(F.broadcast(some.select(F.col("word").alias("w"), "p")), "w", "left")
+    known = F.col("off").isNotNull() & F.col("p").isNotNull()
+    far = near.where(~known).drop("off", "p").join(words.select(F.col("word").alias("h"), "off"), "h").join(words.select(F.col("word").alias("w"), "p"), "w")
+    alone = words.select((-1 - F.col("word")).alias("gram"), "c", (F.log("p") - F.lit(float(np.log(unknown))) + F.log(F.col("off") / F.col("c"))).cast("float").alias("v"))
+    cols = ("gram", "c", v.cast("float").alias("v"))
+    table = written(near.where(known).select(*cols).unionByName(far.select(*cols)).unionByName(alone), "model")
+    discard(counts)
+    return table, float(np.log(unknown))
+
+
+def train(texts: DataFrame, head_rows: int | None = None) -> tuple[DataFrame, float]:
+    """additive() of a one-column table of trusted texts."""
+    pairs = written(pair_counts(texts), "pair-counts")
+    model = additive(pairs, head_rows)
+    discard(pairs)
+    return model
 
 
 class _Table:
@@ -275,66 +248,6 @@ class _Table:
         return values, found
 
 
-class _Model:
-    def __init__(self, columns: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]], coding: Coding = SIGNS):
-        self.coding = coding
-        self.unknown = float(columns[0, True][1][0])
-        self.tables = {k: _Table(*v) for k, v in columns.items() if k[0]}
-
-    def log_p(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams))
-        left, at = grams, np.arange(len(grams))
-        for k in range(self.coding.order, 0, -1):
-            if (k, True) in self.tables:
-                v, found = self.tables[k, True].get(left & self.coding.mask(k))
-                out[at] += v
-                left, at = left[~found], at[~found]
-            if k > 1 and len(at) and (k, False) in self.tables:
-                out[at] += self.tables[k, False].get((left & self.coding.mask(k)) >> self.coding.bits)[0]
-        out[at] += self.unknown
-        return out
-
-
-def _scores(docs: DataFrame, model: DataFrame, coding: Coding) -> DataFrame:
-    """By a broadcast copy of the model. docs: key_, text_."""
-    spark, cols = docs.sparkSession, {}
-    rows = model.toArrow()
-    order, seen, gram, v = (rows.column(c).to_numpy() for c in ("order", "seen", "gram", "v"))
-    for k in range(coding.order + 1):
-        for s in (True, False):
-            mine = (order == k) & (seen == s)
-            if mine.any():
-                cols[k, s] = gram[mine], v[mine]
-    shared = spark.sparkContext.broadcast(cols)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _Model(shared.value, coding)  # made anew by each task: kept, it would crowd out what later tasks of the worker need
-        for batch in batches:
-            texts = batch.column("text_").to_pylist()
-            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for gram, who in coding.code(texts):
-                first = int(who[0]) if len(who) else 0
-                s = np.bincount(who - first, m.log_p(gram))
-                total[first : first + len(s)] += s
-                n[first : first + len(s)] += np.bincount(who - first)
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text_"]).columns, pa.array(total), pa.array(n)], names=[*(c for c in batch.schema.names if c != "text_"), "log_p", "n_grams"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text_")
-    return docs.mapInArrow(score, schema + ", log_p double, n_grams bigint")
-
-
-def additive(model: DataFrame) -> DataFrame:
-    """gram, v of a model of word pairs: a text's log probability is that of as many unknown words, plus the v of each of its words (gram: -1 - word)
-    and pairs that are here. For each word is the first of one pair and the last of one (the edge, too): what it adds as last and its weight as
-    context are one number, and a pair that is known corrects its two words' sum."""
-    unknown = model.where("order = 0").first()["v"]
-    last = model.where("order = 1").select(F.col("gram").alias("w"), (F.col("v") - unknown).alias("a"))
-    context = model.where("order = 2 AND NOT seen").select(F.col("gram").alias("h"), F.col("v").alias("b"))
-    words = last.join(context, F.col("w") == F.col("h"), "left").select((-1 - F.col("w")).alias("gram"), (F.col("a") + F.coalesce("b", F.lit(0.0))).alias("v"))
-    pairs = model.where("order = 2 AND seen").select("gram", F.col("v").alias("p"), F.shiftright("gram", _WORD_BITS).alias("h"), F.col("gram").bitwiseAND(_EDGE_WORD).alias("w"))
-    return words.unionByName(pairs.join(last, "w").join(context, "h").select("gram", (F.col("p") - F.col("a") - F.col("b") - unknown).alias("v")))
-
-
 def _bits(gram: np.ndarray) -> list[np.ndarray]:
     x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
@@ -356,19 +269,23 @@ def _filter(grams: DataFrame) -> dict[int, np.ndarray]:
     return {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in made.collect()}
 
 
-def _joined_scores(docs: DataFrame, model: DataFrame, head_rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
-    """By a join of each text's grams with the sharded model, for models too large to broadcast. docs: key_, text_; key_ tells rows apart.
+def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "text", id_: str = "doc_id", lang: str = "lang", head_rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
+    """doc_id, lang, text_hash, log_p, n_grams, perplexity. An empty or null text has one gram, its end; repeated and null ids are scored row by row.
 
-    The head (the words that weigh most, so mostly the frequent) is looked up in place, and a filter keeps grams the model lacks from
-    moving; both decide what is moved, never a score. Each row has an id of its own here, so repeated and null keys are scored row by row.
+    head_rows and filter_rows decide what is moved, never a score. A gram that many texts share is no hot key for long: what is frequent in
+    trusted text is in the head, and other partitions are split by the adaptive skew join.
     """
     head_rows, filter_rows = HEAD_ROWS if head_rows is None else head_rows, FILTER_ROWS if filter_rows is None else filter_rows
-    spark = docs.sparkSession
-    table = written(additive(model), "additive")
-    unknown = float(model.where("order = 0").first()["v"])
-    bloom = _filter(table) if table.count() <= filter_rows else None
-    words = table.where("gram < 0").orderBy(F.desc(F.abs("v")), "gram").limit(head_rows).toArrow()
-    shared = spark.sparkContext.broadcast((words.column("gram").to_numpy(), words.column("v").to_numpy(), bloom))
+    table, unknown = model
+    docs = docs.select(F.col(f"`{id_}`").cast("long").alias("key_"), F.col(f"`{lang}`").cast("string").alias("lang"), body(f"`{text}`").alias("text_"))
+    docs = pinned(docs.select("key_", "lang", F.xxhash64("text_").alias("hash_"), "text_"), "documents")
+    word = F.col("gram") < 0
+    in_head = (word & (F.col("c") >= _head(table.where(word), head_rows))) | (~word & (F.col("c") >= _head(table.where(~word), head_rows)))
+    head = table.where(in_head).select("gram", "v").toArrow()
+    gram_, v_ = head.column("gram").to_numpy(), head.column("v").to_numpy()
+    rest = table.where(~in_head).select(F.col("gram").alias("gram_"), "v")
+    bloom = _filter(rest.withColumnRenamed("gram_", "gram")) if table.count() <= filter_rows else None
+    shared = docs.sparkSession.sparkContext.broadcast((gram_, v_, bloom))
 
     def known(g: np.ndarray, bloom: dict[int, np.ndarray]) -> np.ndarray:
         out, part, spots = np.zeros(len(g), bool), g % _SLICES, _bits(g)
@@ -388,17 +305,14 @@ def _joined_scores(docs: DataFrame, model: DataFrame, head_rows: int | None = No
         for batch in batches:
             size = batch.num_rows
             total, n = np.zeros(size), np.zeros(size, np.int64)
-            for gram, who in _word_coded(batch.column("text_").to_pylist()):
+            for gram, who in word_pairs(batch.column("text_").to_pylist()):
                 if not len(gram):
                     continue
                 n += np.bincount(who, minlength=size)
                 for x in (gram, -1 - (gram & _EDGE_WORD)):
-                    if x[0] < 0:
-                        v, found = head.get(x)
-                        total += np.bincount(who, v, size)
-                        x, y = x[~found], who[~found]
-                    else:
-                        y = who
+                    v, found = head.get(x)
+                    total += np.bincount(who, v, size)
+                    x, y = x[~found], who[~found]
                     if bloom is not None:
                         in_ = known(x, bloom)
                         x, y = x[in_], y[in_]
@@ -406,23 +320,17 @@ def _joined_scores(docs: DataFrame, model: DataFrame, head_rows: int | None = No
                     x, y = x[o], y[o]
                     first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(next_ + y[first]), pa.array(x[first]), pa.array(np.diff(np.r_[first, len(x)]).astype(np.int32)), pa.nulls(len(first), own)], names=names)
-            mine = pa.StructArray.from_arrays([batch.column("key_").cast(pa.int64()), batch.column("lang").cast(pa.string()), pa.array(total + n * unknown), pa.array(n)], fields=list(own))
+            mine = pa.StructArray.from_arrays([batch.column("key_"), batch.column("lang"), batch.column("hash_"), pa.array(total + n * unknown), pa.array(n)], fields=list(own))
             ids = np.arange(next_, next_ + size)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids | (1 << 62)), pa.array(np.zeros(size, np.int32)), mine], names=names)  # beyond all pairs, so that these rows are spread
             next_ += size
 
-    own = pa.struct([("key_", pa.int64()), ("lang", pa.string()), ("s", pa.float64()), ("n", pa.int64())])
+    own = pa.struct([("key_", pa.int64()), ("lang", pa.string()), ("hash_", pa.int64()), ("s", pa.float64()), ("n", pa.int64())])
     names = ["row", "gram", "c", "own"]
-    parts = docs.select("key_", "lang", "text_").mapInArrow(split, "row bigint, gram bigint, c int, own struct<key_: bigint, lang: string, s: double, n: bigint>")
-    sums = parts.join(table.withColumnRenamed("gram", "gram_"), F.col("gram") == F.col("gram_"), "left").groupBy("row").agg(F.first("own", True).alias("own"), F.sum(F.col("c") * F.coalesce("v", F.lit(0.0))).alias("more"))
-    return sums.select("own.key_", "own.lang", (F.col("own.s") + F.col("more")).alias("log_p"), F.col("own.n").alias("n_grams"))
-
-
-def perplexities(docs: DataFrame, model: DataFrame, text: str = "text", id_: str = "doc_id", lang: str = "lang", model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, lang, log_p, n_grams, perplexity. An empty or null text has one gram, its end."""
-    rows = docs.select(F.col(f"`{id_}`").cast("long").alias("key_"), F.coalesce(F.col(f"`{lang}`"), F.lit("")).alias("lang"), body(f"`{text}`").alias("text_"))
-    scored = _scores(rows, model, WORDS) if model.count() <= model_rows else _joined_scores(rows, model)
-    return scored.select(F.col("key_").alias("doc_id"), "lang", "log_p", "n_grams", F.exp(-F.col("log_p") / F.col("n_grams")).alias("perplexity"))
+    parts = docs.mapInArrow(split, "row bigint, gram bigint, c int, own struct<key_: bigint, lang: string, hash_: bigint, s: double, n: bigint>")
+    sums = parts.join(rest, F.col("gram") == F.col("gram_"), "left").groupBy("row").agg(F.first("own", True).alias("own"), F.sum(F.col("c") * F.coalesce("v", F.lit(0.0).cast("float")).cast("double")).alias("more"))
+    log_p, n = F.col("own.s") + F.col("more"), F.col("own.n")
+    return sums.select(F.col("own.key_").alias("doc_id"), "own.lang", F.col("own.hash_").alias("text_hash"), log_p.alias("log_p"), n.alias("n_grams"), F.exp(-log_p / n).alias("perplexity"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -430,34 +338,34 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("trusted_")).distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, text: str = "text", id_: str = "doc_id", lang: str = "lang", model_rows: int = MODEL_ROWS) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, text: str, id_: str, lang: str, head_rows: int | None) -> DataFrame:
+    good = written(trusted_ids(labels), "trusted")
+    held = lambda h: F.pmod(h, F.lit(HELD_OUT)) == 0
+    some = docs.join(if_small(good), F.col(f"`{id_}`") == F.col("trusted_"), "left_semi").select(body(f"`{text}`").alias("text_"))
+    model = train(some.where(~held(F.xxhash64("text_"))), head_rows)
+    scored = written(perplexities(docs, model, text, id_, lang, head_rows), "perplexities")
+    discard(model[0])
+    own = written(scored.where(held(F.col("text_hash"))).join(if_small(good), F.col("doc_id") == F.col("trusted_"), "left_semi"), "held-out")
+    by_lang = written(_fit(own, ["lang"], quantile).where(F.col("docs_") >= OWN_DOCS).withColumnRenamed("lang", "lang_"), "fit-by-language")
+    over_all = _fit(own, [], quantile).select(*(F.col(c).alias(f"{c}all_") for c in _FIT))
+    out = scored.join(if_small(by_lang), F.col("lang").eqNullSafe(F.col("lang_")), "left").join(F.broadcast(over_all), how="left")
+    a, b, c, d, z = (F.when(F.col("docs_").isNotNull(), F.col(x)).otherwise(F.col(f"{x}all_")) for x in _FIT)
+    out = out.withColumn("threshold", F.exp(_mean(a, b) + z * _spread(c, d)))
+    return out.select("doc_id", "lang", "text_hash", "n_grams", "perplexity", "threshold", (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, text: str = "text", id_: str = "doc_id", lang: str = "lang", head_rows: int | None = None) -> DataFrame:
     """One row per document: doc_id, lang, n_grams, perplexity, threshold, kept.
 
-    The model is trained on all documents that labels has as good and not toxic. Null texts count as empty; a null language is one of its own.
-    Thresholds come from held-out scores: each trusted document's under a model of the other half, halves by the text, so that equal ones are in one.
+    The model is trained on the documents that labels has as good and not toxic, all but one in HELD_OUT (by the text, so equal ones are on
+    one side). Null texts count as empty; a null language is one of its own. Thresholds come from the held-out ones.
     The surprise per word (log perplexity) of n words has a mean of a + b / n and a variance of c + d / n, both fitted to these; the threshold
     is at the quantile of the deviations in units of that, so that short texts don't raise the bar for long ones. Too few documents to show
-    the quantile (n < 1 / (1 - quantile)) give at least the normal law's, widened by sqrt(1 + 1 / n).
-    A language of fewer than OWN_DOCS trusted documents takes the fit over all; without any, nothing is rejected. Null ids are scored and never trusted;
-    repeated rows are scored alike. labels may hold ids that docs lacks.
+    the quantile (n < 1 / (1 - quantile)) give at least Student's for one more document.
+    A language of fewer than OWN_DOCS held-out documents takes the fit over all; without any, nothing is rejected. Null ids are scored and never
+    trusted; repeated rows are scored alike, and rows of one id each by their own text. labels may hold ids that docs lacks; no rows give no rows.
     """
-    good = written(trusted_ids(labels), "trusted")
-    half = F.pmod(F.xxhash64(body(f"`{text}`")), F.lit(2)).cast("int")
-    some = docs.join(if_small(good), F.col(f"`{id_}`") == F.col("trusted_"), "left_semi").withColumn("half_", half)
-    counts = written(gram_counts(some.select(F.col("half_").alias("half"), body(f"`{text}`").alias("text_")), WORDS), "gram-counts")
-    model = model_of(written(counts.groupBy("gram").agg(F.sum("c").alias("c")), "gram-counts"), WORDS)
-    scored = written(perplexities(docs, model, text, id_, lang, model_rows), "perplexities")
-    own = None
-    for h in (0, 1):
-        other = model_of(counts.where(F.col("half") == 1 - h).select("gram", "c"), WORDS)
-        part = written(perplexities(some.where(F.col("half_") == h), other, text, id_, lang, model_rows), "held-out")
-        own = part if own is None else own.unionByName(part)
-    by_lang = _fit(own, ["lang"], quantile).where(F.col("docs_") >= OWN_DOCS)
-    over_all = _fit(own, [], quantile).select(*(F.col(c).alias(f"{c}all_") for c in _FIT))
-    out = scored.join(F.broadcast(by_lang), "lang", "left").join(F.broadcast(over_all), how="left")
-    a, b, c, d, z = (F.when(F.col("docs_").isNotNull(), F.col(x)).otherwise(F.col(f"{x}all_")) for x in _FIT)
-    out = out.withColumn("threshold", F.exp(_mean(a, b) + z * _spread(c, d)))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("kept"))
+    return _judged(docs, labels, quantile, text, id_, lang, head_rows).drop("text_hash")
 
 
 _FIT = ("a_", "b_", "c_", "d_", "z_")
@@ -478,7 +386,9 @@ def _fit(scored: DataFrame, by: list[str], quantile: float) -> DataFrame:
     rows = scored.withColumn("y_", y)
 
     def with_(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(numbers), by) if by else rows.join(F.broadcast(numbers))
+        if not by:
+            return rows.join(F.broadcast(numbers))  # one row
+        return rows.join(numbers.select(*(F.col(c).alias(f"{c}_of_") if c in by else F.col(c) for c in numbers.columns)), F.col(by[0]).eqNullSafe(F.col(f"{by[0]}_of_"))).drop(f"{by[0]}_of_")
 
     means = rows.groupBy(*by).agg(F.count("*").alias("docs_"), slope(F.col("y_")).alias("b_"), F.avg("y_").alias("y0_"), F.avg(x).alias("x0_"))
     means = means.select(*by, "docs_", "b_", (F.col("y0_") - F.col("b_") * F.col("x0_")).alias("a_"))
@@ -489,12 +399,15 @@ def _fit(scored: DataFrame, by: list[str], quantile: float) -> DataFrame:
     parts = parts.select(*by, F.when(F.col("d_") < 0, F.col("r0_")).when(c < 0, 0.0).otherwise(c).alias("c_"), F.when(F.col("d_") < 0, 0.0).when(c < 0, F.col("r0_") / F.col("x0_")).otherwise(F.col("d_")).alias("d_"))
     z = F.try_divide(F.col("y_") - _mean(F.col("a_"), F.col("b_")), _spread(F.col("c_"), F.col("d_")))
     tops = with_(rows, parts).groupBy(*by).agg(F.coalesce(F.percentile_approx(z, quantile, 10_000), F.lit(0.0)).alias("q_"))
-    out = means.join(parts, by).join(tops, by) if by else means.join(parts).join(tops)
-    few = F.lit(NormalDist().inv_cdf(quantile)) * F.sqrt(1 + 1 / F.col("docs_"))
+    out = with_(with_(means, parts), tops)
+    n, z = F.col("docs_"), NormalDist().inv_cdf(quantile)
+    free = F.greatest(n - 2, F.lit(1))
+    few = (z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free * free)) * F.sqrt((n + 1) / F.greatest(n - 1, F.lit(1)))
     return out.withColumn("z_", F.when(F.col("docs_") * (1 - quantile) < 1, F.greatest("q_", few)).otherwise(F.col("q_"))).select(*by, "docs_", *_FIT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The rows of docs that classify() keeps, whole. Rows with a null id stay."""
-    gone = written(classify(docs, labels, text=text, id_=id_, lang=lang).where("NOT kept").select(F.col("doc_id").alias("gone_")).distinct(), "rejected")
-    return docs.join(if_small(gone), F.col(f"`{id_}`") == F.col("gone_"), "left_anti")
+    """The rows of docs that classify() keeps, whole. Rows are told apart by id and text: of one id, each row goes or stays by its own text."""
+    judged = _judged(docs, labels, QUANTILE, text, id_, lang, None)
+    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias("gone_"), F.col("text_hash").alias("gone_hash_")).distinct(), "rejected")
+    return docs.join(if_small(gone), F.col(f"`{id_}`").cast("long").eqNullSafe(F.col("gone_")) & (F.xxhash64(body(f"`{text}`")) == F.col("gone_hash_")), "left_anti")

@@ -58,31 +58,81 @@ def frame(spark, texts):
 def test_perplexity_is_that_of_a_plain_model(spark, texts):
     given = [t for t in texts if "中" not in t]
     asked = [*given[25:], "none of these were seen", ""]
-    model = quality_lm.train(frame(spark, given[:25]).select("text"), quality_lm.WORDS)
     p = plain_model(given[:25])
     want = {i: sum(math.log(p(h, w)) for h, w in zip(tokens(t), tokens(t)[1:])) for i, t in enumerate(asked)}
-    for rows in (4_000_000, 0):
-        got = {r["doc_id"]: r for r in quality_lm.perplexities(frame(spark, asked), model, model_rows=rows).collect()}
-        assert {i: r["log_p"] for i, r in got.items()} == pytest.approx(want)
+    for head, bloom in ((10**6, 10**6), (0, 0), (20, 10**6), (20, 0)):  # all looked up in place, all joined, and both
+        model = quality_lm.train(frame(spark, given[:25]).select("text"), head)
+        got = {r["doc_id"]: r for r in quality_lm.perplexities(frame(spark, asked), model, head_rows=head, filter_rows=bloom).collect()}
+        assert {i: r["log_p"] for i, r in got.items()} == pytest.approx(want, rel=1e-5)
         assert {i: r["n_grams"] for i, r in got.items()} == {i: len(tokens(t)) - 1 for i, t in enumerate(asked)}
 
 
-def test_head_and_filter_change_no_score_and_rows_stay_apart(spark, texts):
-    model = quality_lm.train(frame(spark, texts[:25]).select("text"), quality_lm.WORDS)
-    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(3, texts[3], "en"), (None, texts[4], "en"), (None, texts[5], None)]
-    docs = spark.createDataFrame(rows, "key_ bigint, text_ string, lang string").repartition(3)
-    key = lambda df: sorted((r["key_"] is None, r["key_"] or 0, r["lang"] or "", r["n_grams"], round(r["log_p"], 6)) for r in df.collect())
-    want = key(quality_lm._scores(docs, model, quality_lm.WORDS))
-    assert len(want) == len(rows)
-    for head, bloom in ((0, 0), (10, 0), (10, 10**6), (10**6, 10**6)):
-        assert key(quality_lm._joined_scores(docs, model, head, bloom)) == want
+def test_rows_stay_apart(spark, texts):
+    """Repeated rows, null ids and null languages are scored row by row, with the same scores however rows lie."""
+    model = quality_lm.train(frame(spark, texts[:25]).select("text"), 20)
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(3, texts[3], "en"), (3, texts[5], "en"), (None, texts[4], "en"), (None, texts[5], None), (7, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    key = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["lang"] is None, r["lang"] or "", r["n_grams"], round(r["log_p"], 3)) for r in df.collect())
+    first, again = (key(quality_lm.perplexities(docs.repartition(n), model, head_rows=20)) for n in (1, 4))
+    assert first == again and len(first) == len(rows)
+    plain = {t: round(r["log_p"], 3) for t, r in zip(texts, sorted(quality_lm.perplexities(frame(spark, texts), model).collect(), key=lambda r: r["doc_id"]))}
+    assert all((False, 3, False, "en", len(tokens(t)) - 1, plain[t]) in first for t in (texts[3], texts[5]))
+
+
+def test_rows_of_one_id_go_or_stay_by_their_own_text(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeilnorst", k=rng.randint(2, 5))) for _ in range(40)]
+    good = [" ".join(rng.choices(words, k=80)) for _ in range(60)]
+    junk = "".join(rng.choices("%$#&*!|QXZ ", k=400))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)] + [(70, junk, "en"), (70, good[0], "en"), (None, junk, None), (None, good[1], None)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    kept = quality_lm.keep_good(docs, labels).collect()
+    assert all(r["text"] != junk for r in kept)
+    assert {(r["doc_id"], r["text"]) for r in kept} >= {(70, good[0]), (None, good[1])}
+
+
+def test_held_out_documents_set_the_thresholds_of_their_language(spark):
+    """The thresholds, from the perplexities alone in plain Python."""
+    rng = random.Random(12)
+    words = {g: ["".join(rng.choices("abcdeilnorst", k=rng.randint(2, 5))) for _ in range(60)] for g in ("en", "fr", None)}
+    rows = [(i, " ".join(rng.choices(words[g], k=rng.randint(5, 90))), g) for i, g in enumerate(rng.choices(["en", "fr", None], [6, 5, 1], k=700))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id bigint, quality int, toxic int")
+    judged = quality_lm._judged(docs, labels, 0.9, "text", "doc_id", "lang", None).collect()
+    held = [r for r in judged if r["text_hash"] % quality_lm.HELD_OUT == 0 and r["doc_id"] < 600]
+    mean = lambda v: sum(v) / len(v)
+
+    def line(x, y):
+        mx, my = mean(x), mean(y)
+        b = sum((p - mx) * (q - my) for p, q in zip(x, y)) / sum((p - mx) ** 2 for p in x)
+        return my - b * mx, b
+
+    def fit(rows):
+        x, y = [1 / r["n_grams"] for r in rows], [math.log(r["perplexity"]) for r in rows]
+        a, b = line(x, y)
+        r2 = [(q - a - b * p) ** 2 for p, q in zip(x, y)]
+        c, d = line(x, r2)
+        if d < 0:
+            c, d = mean(r2), 0.0
+        elif c < 0:
+            c, d = 0.0, mean(r2) / mean(x)
+        z = sorted((q - a - b * p) / math.sqrt(c + d * p) for p, q in zip(x, y))
+        return a, b, c, d, z[math.ceil(0.9 * len(z)) - 1]
+
+    fits = {g: fit([r for r in held if r["lang"] == g]) for g in ("en", "fr") if sum(r["lang"] == g for r in held) >= quality_lm.OWN_DOCS}
+    assert set(fits) == {"en", "fr"}
+    every = fit(held)
+    for r in judged:
+        a, b, c, d, z = fits.get(r["lang"], every)
+        assert r["threshold"] == pytest.approx(math.exp(a + b / r["n_grams"] + z * math.sqrt(c + d / r["n_grams"])), rel=1e-6)
+        assert r["kept"] == (r["perplexity"] <= r["threshold"])
 
 
 def test_long_texts_are_cut_between_words(monkeypatch, texts):
     long = " ".join(texts)
-    whole = [g.tolist() for g, _ in quality_lm._word_coded([long])]
+    whole = [g.tolist() for g, _ in quality_lm.word_pairs([long])]
     monkeypatch.setattr(quality_lm, "CHUNK", 50)
-    cut = [x for g, _ in quality_lm._word_coded([long]) for x in g.tolist()]
+    cut = [x for g, _ in quality_lm.word_pairs([long]) for x in g.tolist()]
     assert len(whole) == 1 and cut == whole[0]
 
 
