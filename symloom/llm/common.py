@@ -60,15 +60,23 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, and survives lost executors. Its shuffle files go at once."""
-    spark = df.sparkSession
-    path, before = fresh_path(spark, what), spark.conf.get(_CLEANUP, "false")
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of queries that run inside go when each ends."""
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts the lineage, and survives lost executors. Its shuffle files go at once."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    with tidy(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table
@@ -80,11 +88,6 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, [table.written_at])
 
 
-def pinned(df: DataFrame, what: str) -> DataFrame:
-    """df with partitions that hold the same rows in the same order whenever they are made again: itself if it only reads files, else as a written table."""
-    return written(df, what) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
-
-
 def body(col: str = "text") -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -22,11 +22,10 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, discard, if_small, pinned, written
+from .common import body, discard, if_small, tidy, written
 
 #: Signs that are coded at once.
 CHUNK = 250_000
@@ -34,14 +33,16 @@ CHUNK = 250_000
 HELD_OUT = 5
 #: Thresholds are at this quantile of a language's held-out documents; OWN_DOCS of them are needed for a language to have its own.
 QUANTILE, OWN_DOCS = 0.995, 30
-#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of the rest up to which there is a filter of them (32 MB).
-HEAD_ROWS, FILTER_ROWS = 1_000_000, 64_000_000
+#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of a round's rest up to which there is a filter of them (16 MB).
+HEAD_ROWS, FILTER_ROWS = 1_000_000, 32_000_000
+#: The rest of the grams is joined in so many rounds, so that no more than such a part of them is on disk at a time; each reads the texts again.
+ROUNDS = 3
 #: Grams that a task counts before it sends them on.
 HELD_GRAMS = 4_000_000
 _EDGE_SIGN = "\U0010ffff"
 _WORD_BITS = 31
 _EDGE_WORD = (1 << _WORD_BITS) - 1
-_SLICES, _SLICE_BITS = 61, 22
+_SLICES, _SLICE_BITS = 61, 21
 
 
 @lru_cache(1)
@@ -173,7 +174,7 @@ def _head(table: DataFrame, rows: int) -> int:
     """The least c of which, with all above, there are at most so many rows in the table."""
     upto, least = 0, None
     by = table.groupBy(F.least("c", F.lit(HEAD_ROWS)).alias("c")).agg(F.count("*").alias("n"))  # no more counts than HEAD_ROWS
-    for r in by.orderBy(F.desc("c")).toLocalIterator():
+    for r in by.orderBy(F.desc("c")).collect():
         upto += r["n"]
         if upto > rows:
             break
@@ -252,40 +253,72 @@ def _bits(gram: np.ndarray) -> list[np.ndarray]:
     x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return [((x >> np.uint64(k)) & np.uint64((1 << _SLICE_BITS) - 1)).astype(np.int64) for k in (0, 20, 41)]
+    return [((x >> np.uint64(k)) & np.uint64((1 << _SLICE_BITS) - 1)).astype(np.int64) for k in (0, 21, 42)]
 
 
 def _filter(grams: DataFrame) -> dict[int, np.ndarray]:
     """A Bloom filter of a column of grams in _SLICES slices, each made by one task."""
 
     def fill(table: pa.Table) -> pa.Table:
-        gram = table.column("gram").to_numpy()
+        gram = table.column("gram_").to_numpy()
         bits = np.zeros(1 << _SLICE_BITS, bool)
         for at in _bits(gram):
             bits[at] = True
         return pa.table({"slice": pa.array([int(gram[0]) % _SLICES], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    made = grams.select(F.pmod("gram", F.lit(_SLICES)).cast("int").alias("slice"), "gram").groupBy("slice").applyInArrow(fill, "slice int, bits binary")
-    return {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in made.collect()}
+    made = grams.select(F.pmod("gram_", F.lit(_SLICES)).cast("int").alias("slice"), "gram_").groupBy("slice").applyInArrow(fill, "slice int, bits binary")
+    with tidy(grams.sparkSession):
+        return {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in made.collect()}
 
 
 def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "text", id_: str = "doc_id", lang: str = "lang", head_rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
-    """doc_id, lang, text_hash, log_p, n_grams, perplexity. An empty or null text has one gram, its end; repeated and null ids are scored row by row.
+    """doc_id, lang, text_hash, log_p, n_grams, perplexity, from written tables. An empty or null text has one gram, its end; repeated and null ids are scored row by row.
 
-    head_rows and filter_rows decide what is moved, never a score. A gram that many texts share is no hot key for long: what is frequent in
-    trusted text is in the head, and other partitions are split by the adaptive skew join.
+    head_rows, filter_rows and ROUNDS decide what is moved and when, never a score. Rows are told apart by 64 bits of a hash of id, language and
+    text (at n rows about n^2 / 2^65 pairs share one). A gram that many texts share is no hot key for long: what is frequent in trusted text is
+    in the head, and partitions that grow all the same are split by the adaptive skew join.
     """
     head_rows, filter_rows = HEAD_ROWS if head_rows is None else head_rows, FILTER_ROWS if filter_rows is None else filter_rows
     table, unknown = model
+    spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_}`").cast("long").alias("key_"), F.col(f"`{lang}`").cast("string").alias("lang"), body(f"`{text}`").alias("text_"))
-    docs = pinned(docs.select("key_", "lang", F.xxhash64("text_").alias("hash_"), "text_"), "documents")
+    docs = docs.select(F.xxhash64("key_", "lang", "text_").alias("row"), "key_", "lang", F.xxhash64("text_").alias("hash_"), "text_")
     word = F.col("gram") < 0
     in_head = (word & (F.col("c") >= _head(table.where(word), head_rows))) | (~word & (F.col("c") >= _head(table.where(~word), head_rows)))
     head = table.where(in_head).select("gram", "v").toArrow()
-    gram_, v_ = head.column("gram").to_numpy(), head.column("v").to_numpy()
+    shared = spark.sparkContext.broadcast((head.column("gram").to_numpy(), head.column("v").to_numpy()))
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = _Table(*shared.value)
+        for batch in batches:
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for gram, who in word_pairs(batch.column("text_").to_pylist()):
+                n += np.bincount(who, minlength=batch.num_rows)
+                for x in (gram, -1 - (gram & _EDGE_WORD)):
+                    total += np.bincount(who, head.get(x)[0], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text_"]).columns, pa.array(total + n * unknown), pa.array(n)], names=["row", "key_", "lang", "hash_", "s", "n"])
+
+    parts = [written(docs.mapInArrow(in_place, "row bigint, key_ bigint, lang string, hash_ bigint, s double, n bigint"), "scores-in-place")]
     rest = table.where(~in_head).select(F.col("gram").alias("gram_"), "v")
-    bloom = _filter(rest.withColumnRenamed("gram_", "gram")) if table.count() <= filter_rows else None
-    shared = docs.sparkSession.sparkContext.broadcast((gram_, v_, bloom))
+    few = rest.count() <= filter_rows * ROUNDS
+    for k in range(ROUNDS):
+        mine = rest.where(F.pmod("gram_", F.lit(ROUNDS)) == k)
+        parts.append(written(_joined(docs.select("row", "text_"), mine, k, _filter(mine) if few else None), f"scores-{k}"))
+    own, *more = parts
+    for other in more[1:]:
+        more[0] = more[0].unionByName(other)
+    # of rows that are the same in all, each has sent all its grams
+    copies = own.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
+    sums = more[0].groupBy("row").agg(F.sum("more").alias("more")).join(copies, "row", "left").select("row", (F.col("more") / F.coalesce("copies", F.lit(1))).alias("more"))
+    log_p = F.col("s") + F.coalesce("more", F.lit(0.0))
+    found = written(own.join(sums, "row", "left").select(F.col("key_").alias("doc_id"), "lang", F.col("hash_").alias("text_hash"), log_p.alias("log_p"), F.col("n").alias("n_grams"), F.exp(-log_p / F.col("n")).alias("perplexity")), "perplexities")
+    discard(*parts)
+    return found
+
+
+def _joined(docs: DataFrame, rest: DataFrame, k: int, bloom: dict[int, np.ndarray] | None) -> DataFrame:
+    """row, more: what the grams of round k that are in `rest` add to each row's sum, without rows that have none there."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def known(g: np.ndarray, bloom: dict[int, np.ndarray]) -> np.ndarray:
         out, part, spots = np.zeros(len(g), bool), g % _SLICES, _bits(g)
@@ -300,37 +333,24 @@ def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "t
         return out
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram_, v_, bloom = shared.value
-        head, next_ = _Table(gram_, v_), TaskContext.get().partitionId() << 40
+        bloom = shared.value
         for batch in batches:
-            size = batch.num_rows
-            total, n = np.zeros(size), np.zeros(size, np.int64)
+            row = batch.column("row").to_numpy()
             for gram, who in word_pairs(batch.column("text_").to_pylist()):
-                if not len(gram):
-                    continue
-                n += np.bincount(who, minlength=size)
                 for x in (gram, -1 - (gram & _EDGE_WORD)):
-                    v, found = head.get(x)
-                    total += np.bincount(who, v, size)
-                    x, y = x[~found], who[~found]
+                    mine = np.flatnonzero(x % ROUNDS == k)
+                    x, y = x[mine], who[mine]
                     if bloom is not None:
                         in_ = known(x, bloom)
                         x, y = x[in_], y[in_]
+                    if not len(x):
+                        continue
                     o = np.lexsort((x, y))
                     x, y = x[o], y[o]
-                    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(next_ + y[first]), pa.array(x[first]), pa.array(np.diff(np.r_[first, len(x)]).astype(np.int32)), pa.nulls(len(first), own)], names=names)
-            mine = pa.StructArray.from_arrays([batch.column("key_"), batch.column("lang"), batch.column("hash_"), pa.array(total + n * unknown), pa.array(n)], fields=list(own))
-            ids = np.arange(next_, next_ + size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids | (1 << 62)), pa.array(np.zeros(size, np.int32)), mine], names=names)  # beyond all pairs, so that these rows are spread
-            next_ += size
+                    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(row[y[first]]), pa.array(x[first]), pa.array(np.diff(np.r_[first, len(x)]).astype(np.int32))], names=["row", "gram", "c"])
 
-    own = pa.struct([("key_", pa.int64()), ("lang", pa.string()), ("hash_", pa.int64()), ("s", pa.float64()), ("n", pa.int64())])
-    names = ["row", "gram", "c", "own"]
-    parts = docs.mapInArrow(split, "row bigint, gram bigint, c int, own struct<key_: bigint, lang: string, hash_: bigint, s: double, n: bigint>")
-    sums = parts.join(rest, F.col("gram") == F.col("gram_"), "left").groupBy("row").agg(F.first("own", True).alias("own"), F.sum(F.col("c") * F.coalesce("v", F.lit(0.0).cast("float")).cast("double")).alias("more"))
-    log_p, n = F.col("own.s") + F.col("more"), F.col("own.n")
-    return sums.select(F.col("own.key_").alias("doc_id"), "own.lang", F.col("own.hash_").alias("text_hash"), log_p.alias("log_p"), n.alias("n_grams"), F.exp(-log_p / n).alias("perplexity"))
+    return docs.mapInArrow(split, "row bigint, gram bigint, c int").join(rest, F.col("gram") == F.col("gram_")).groupBy("row").agg(F.sum(F.col("c") * F.col("v").cast("double")).alias("more"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -343,7 +363,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, text: str, id_:
     held = lambda h: F.pmod(h, F.lit(HELD_OUT)) == 0
     some = docs.join(if_small(good), F.col(f"`{id_}`") == F.col("trusted_"), "left_semi").select(body(f"`{text}`").alias("text_"))
     model = train(some.where(~held(F.xxhash64("text_"))), head_rows)
-    scored = written(perplexities(docs, model, text, id_, lang, head_rows), "perplexities")
+    scored = perplexities(docs, model, text, id_, lang, head_rows)
     discard(model[0])
     own = written(scored.where(held(F.col("text_hash"))).join(if_small(good), F.col("doc_id") == F.col("trusted_"), "left_semi"), "held-out")
     by_lang = written(_fit(own, ["lang"], quantile).where(F.col("docs_") >= OWN_DOCS).withColumnRenamed("lang", "lang_"), "fit-by-language")
