@@ -22,6 +22,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ HELD_OUT = 5
 QUANTILE, OWN_DOCS = 0.995, 30
 #: Words, and as many pairs, that are looked up in place (12 bytes each); rows of a round's rest up to which there is a filter of them (16 MB).
 HEAD_ROWS, FILTER_ROWS = 1_000_000, 32_000_000
+#: Words that are broadcast while the model is made; pairs of other ones take two joins.
+WORD_ROWS = 400_000
 #: The rest of the grams is joined in so many rounds, so that no more than such a part of them is on disk at a time; each reads the texts again.
 ROUNDS = 3
 #: Grams that a task counts before it sends them on.
@@ -202,7 +205,7 @@ def additive(pairs: DataFrame, head_rows: int | None = None) -> tuple[DataFrame,
     words = counts.select("word", "c", "off", ((F.col("k") - _off("k", d1)) / F.lit(total) + F.lit(unknown)).alias("p"))
     # (c - d) / total + off / total * p, over what the words alone give, off / total * p
     v = F.log1p((F.col("c") - _off("c", d2)) / (F.col("off") * F.col("p")))
-    some = words.where(F.col("c") >= _head(words, head_rows))
+    some = words.where(F.col("c") >= _head(words, min(head_rows, WORD_ROWS)))
     near = each.join(F.broadcast(some.select(F.col("word").alias("h"), "off")), "h", "left").join(F.broadcast(some.select(F.col("word").alias("w"), "p")), "w", "left")
     known = F.col("off").isNotNull() & F.col("p").isNotNull()
     far = near.where(~known).drop("off", "p").join(words.select(F.col("word").alias("h"), "off"), "h").join(words.select(F.col("word").alias("w"), "p"), "w")
@@ -266,8 +269,8 @@ def _filter(grams: DataFrame) -> dict[int, np.ndarray]:
             bits[at] = True
         return pa.table({"slice": pa.array([int(gram[0]) % _SLICES], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    made = grams.select(F.pmod("gram_", F.lit(_SLICES)).cast("int").alias("slice"), "gram_").groupBy("slice").applyInArrow(fill, "slice int, bits binary")
-    with tidy(grams.sparkSession):
+    with tidy(grams.sparkSession):  # also around what makes the DataFrame
+        made = grams.select(F.pmod("gram_", F.lit(_SLICES)).cast("int").alias("slice"), "gram_").groupBy("slice").applyInArrow(fill, "slice int, bits binary")
         return {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in made.collect()}
 
 
@@ -299,11 +302,14 @@ def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "t
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text_"]).columns, pa.array(total + n * unknown), pa.array(n)], names=["row", "key_", "lang", "hash_", "s", "n"])
 
     parts = [written(docs.mapInArrow(in_place, "row bigint, key_ bigint, lang string, hash_ bigint, s double, n bigint"), "scores-in-place")]
+    shared.destroy()
     rest = table.where(~in_head).select(F.col("gram").alias("gram_"), "v")
     few = rest.count() <= filter_rows * ROUNDS
     for k in range(ROUNDS):
         mine = rest.where(F.pmod("gram_", F.lit(ROUNDS)) == k)
-        parts.append(written(_joined(docs.select("row", "text_"), mine, k, _filter(mine) if few else None), f"scores-{k}"))
+        shared = spark.sparkContext.broadcast(_filter(mine) if few else None)
+        parts.append(written(_joined(docs.select("row", "text_"), mine, k, shared), f"scores-{k}"))
+        shared.destroy()
     own, *more = parts
     for other in more[1:]:
         more[0] = more[0].unionByName(other)
@@ -316,9 +322,8 @@ def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "t
     return found
 
 
-def _joined(docs: DataFrame, rest: DataFrame, k: int, bloom: dict[int, np.ndarray] | None) -> DataFrame:
-    """row, more: what the grams of round k that are in `rest` add to each row's sum, without rows that have none there."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+def _joined(docs: DataFrame, rest: DataFrame, k: int, shared: Broadcast) -> DataFrame:
+    """row, more: what the grams of round k that are in `rest` add to each row's sum, without rows that have none there. shared: a filter of them, or None."""
 
     def known(g: np.ndarray, bloom: dict[int, np.ndarray]) -> np.ndarray:
         out, part, spots = np.zeros(len(g), bool), g % _SLICES, _bits(g)
