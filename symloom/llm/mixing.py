@@ -3,18 +3,19 @@
 Each source's documents fall by hash into blocks of about BLOCK_WORDS words. A source's target becomes whole
 passes over its blocks and, for the rest, the first blocks of a hashed permutation, the last of them cut so
 that the words come out exactly. These block quotas are parted among the output shards by a tree: at each
-node the left half takes its share of the draws without replacement, source by source, so the quotas stay
-exact in every shard and in the whole. Each shard then owns disjoint ranges of the permuted draws, and
+node the left half takes its share of the draws without replacement, source by source and by the hypergeometric law, so
+the quotas stay exact in every shard and in the whole. Each shard then owns disjoint ranges of the permuted draws, and
 documents are shuffled within their shard.
 
-What the driver holds is one row per source, like the weights themselves, and the shards' quotas. Documents
-are only ever ordered within a block, so a source that holds a third of all rows is spread over its blocks.
+The driver holds one row per source, like the weights themselves; the tree is made level by level on the executors.
+Documents are only ever ordered within a block and blocks within a bucket of some thousands, so a source that holds
+a third of all rows is spread over its blocks.
 """
 
 from __future__ import annotations
 
 import json
-import random
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from .common import WS, body, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
-#: Words of a block and of an output shard, about; most documents of a block, about.
-BLOCK_WORDS, SHARD_WORDS, BLOCK_DOCS = 32_768, 4_000_000, 4_096
-#: Output shards at most: beyond that they hold more words, so that the driver's quota table stays small.
-SHARDS = 8_192
+#: Words of a block and of an output shard, about; most documents of a block, and blocks that are ordered together, about.
+BLOCK_WORDS, SHARD_WORDS, BLOCK_DOCS, BUCKET = 32_768, 4_000_000, 4_096, 4_096
+#: Levels of the tree that one task makes before its nodes are spread.
+ONE_TASK = 8
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
@@ -47,43 +48,88 @@ def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most:
     return out
 
 
-def hypergeometric(rng: random.Random, marked: int, others: int, drawn: int) -> int:
-    """How many of `drawn` without replacement are marked: drawn one by one when few, else by the normal law cut to what is possible."""
-    low, high = max(0, drawn - others), min(marked, drawn)
-    if low >= high:
-        return low
-    n = marked + others
-    if drawn <= 4096:
-        got, left = 0, n
-        for _ in range(drawn):
-            got += rng.random() * left < marked - got
-            left -= 1
-        return min(max(got, low), high)
-    mean = drawn * marked / n
-    dev = (mean * (others / n) * (n - drawn) / max(1, n - 1)) ** 0.5
-    return min(max(round(rng.gauss(mean, dev)), low), high)
-
-
-def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
-    """The quotas of each shard. Column sums are the quotas; shards' totals differ by one at most."""
-    out: list[list[int]] = []
-
-    def part(own: list[int], leaves: int, node: int) -> None:
-        if leaves == 1:
-            out.append(own)
-            return
-        rng, half = random.Random(seed * 1_000_003 + node), leaves // 2
-        drawn, left, rest = sum(own) * half // leaves, [], sum(own)
-        for q in own:
-            rest -= q
-            got = hypergeometric(rng, q, rest, drawn)
-            left.append(got)
-            drawn -= got
-        part(left, half, 2 * node)
-        part([q - a for q, a in zip(own, left)], leaves - half, 2 * node + 1)
-
-    part(quotas, shards, 1)
-    return out
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def hypergeometric(marked: Column, others: Column, drawn: Column, u: Column) -> Column:
+    """How many of `drawn` without replacement are marked, by inversion of a uniform u of 53 bits.
+
+    The law's weights follow from the mode's by their ratios. Beyond 9 deviations and 40 more they add up to less than u can tell.
+    """
+    low, high = F.greatest(F.lit(0).cast("long"), drawn - others), F.least(marked, drawn)
+
+    def inverted(p: Column) -> Column:
+        k, n, m, o = (p[x].cast("double") for x in ("mode", "drawn", "marked", "others"))
+        up = lambda j: (m - k - j + 1) * (n - k - j + 1) / ((k + j) * (o - n + k + j))
+        down = lambda j: (k - j + 1) * (o - n + k - j + 1) / ((m - k + j) * (n - k + j))
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("hit"))
+
+        def walk(steps: Column, ratio, target: Column) -> Column:
+            """After all steps: the weights' sum, and the first step at which it passed the target."""
+
+            def step(acc: Column, j: Column) -> Column:
+                return let(F.when(j == 0, F.lit(1.0)).otherwise(acc["w"] * ratio(j.cast("double"))), lambda w: let(acc["sum"] + F.when(j == 0, 0.0).otherwise(w), lambda t: F.struct(w.alias("w"), t.alias("sum"), F.coalesce(acc["hit"], F.when((j > 0) & (t > target), j)).alias("hit"))))
+
+            return F.aggregate(F.sequence(F.lit(0), steps), start, step)
+
+        reach = lambda room: F.least(room, p["reach"]).cast("int")
+        ups, downs = reach(p["high"] - p["mode"]), reach(p["mode"] - p["low"])
+        never = F.lit(float("inf"))
+
+        def found(q: Column) -> Column:
+            target = p["u"] * (1 + q["up"] + q["down"]) - 1
+            above = p["mode"] + F.coalesce(walk(ups, up, target)["hit"], ups)
+            below = p["mode"] - F.coalesce(walk(downs, down, target - q["up"])["hit"], downs)
+            return F.when(target < 0, p["mode"]).when(target < q["up"], above).otherwise(below)
+
+        return let(F.struct(walk(ups, up, never)["sum"].alias("up"), walk(downs, down, never)["sum"].alias("down")), found)
+
+    def ready(p: Column) -> Column:
+        m, o, n = (p[x].cast("double") for x in ("marked", "others", "drawn"))
+        mode = F.least(p["high"], F.greatest(p["low"], F.floor((n + 1) * (m + 1) / (m + o + 2))))
+        dev = F.sqrt(n * (m / (m + o)) * (o / (m + o)) * (m + o - n) / F.greatest(F.lit(1.0), m + o - 1))
+        more = F.struct(*(p[x].alias(x) for x in ("marked", "others", "drawn", "low", "high", "u")), mode.cast("long").alias("mode"), (F.ceil(9 * dev) + 40).alias("reach"))
+        return F.when(p["low"] >= p["high"], p["low"]).otherwise(let(more, inverted))
+
+    return let(F.struct(marked.alias("marked"), others.alias("others"), drawn.alias("drawn"), low.alias("low"), high.alias("high"), u.alias("u")), ready)
+
+
+def split_quotas(spark, quotas: list[int], shards: int, seed: int) -> DataFrame:
+    """shard, no, first, n: the quota n of each source in each shard, and the sum of those in the shards before. Zero quotas are left out.
+
+    Sums over shards are the quotas; at each node the halves' totals are in the ratio of their leaves, rounded down on the left.
+    """
+    longs = lambda a: F.array(*(F.lit(int(x)).cast("long") for x in a))
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("shard"), F.lit(shards).cast("long").alias("leaves"), longs(quotas).alias("q"), longs([0] * len(quotas)).alias("first"))
+
+    def left(q: Column, half: Column, leaves: Column, node: Column) -> Column:
+        total = F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x)
+        zero = lambda t: F.struct(t.alias("rest"), F.floor(t.cast("decimal(38,0)") * half / leaves).cast("long").alias("drawn"), F.array().cast("array<bigint>").alias("out"))
+
+        def take(acc: Column, i: Column) -> Column:
+            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), node, i), 11).cast("double") * F.lit(2.0**-53)
+            rest = acc["rest"] - F.get(q, i)
+            return let(hypergeometric(F.get(q, i), rest, acc["drawn"], u), lambda got: F.struct(rest.alias("rest"), (acc["drawn"] - got).alias("drawn"), F.concat(acc["out"], F.array(got)).alias("out")))
+
+        return let(total, lambda t: F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), zero(t), take, lambda acc: acc["out"]))
+
+    def one(node: Column, shard: Column, leaves: Column, q: Column, first: Column) -> Column:
+        return F.struct(node.alias("node"), shard.alias("shard"), leaves.alias("leaves"), q.alias("q"), first.alias("first"))
+
+    node, shard, leaves, q, first = map(F.col, ("node", "shard", "leaves", "q", "first"))
+    half = F.floor(leaves / 2).cast("long")
+
+    def two(a: Column) -> Column:
+        return F.array(one(2 * node, shard, half, a, first), one(2 * node + 1, shard + half, leaves - half, F.zip_with(q, a, lambda x, y: x - y), F.zip_with(first, a, lambda x, y: x + y)))
+
+    for level in range((shards - 1).bit_length()):
+        if level and level % ONE_TASK == 0:
+            rows = rows.repartition("node")
+        rows = rows.select(F.explode(F.when(leaves > 1, let(left(q, half, leaves, node), two)).otherwise(F.array(one(node, shard, leaves, q, first)))).alias("x")).select("x.*")
+    each = rows.select("shard", F.posexplode(F.arrays_zip("first", "q")).alias("no", "x"))
+    return each.select(F.col("shard").cast("int").alias("shard"), "no", F.col("x.first").alias("first"), F.col("x.q").alias("n")).where("n > 0")
 
 
 def _rows(spark, rows: list[dict], schema: str) -> DataFrame:
@@ -122,26 +168,27 @@ def mix(docs: DataFrame, carry: list[str] | None = None, seed: int = 17, block_w
     sources = _rows(spark, plan, "no int, source string, source_size bigint, target double, passes int, rest bigint, blocks int")
     in_blocks = lambda r: r.join(F.broadcast(sources), r["source"].eqNullSafe(sources["source"])).drop("source").withColumn("block", F.pmod(_hash(seed + 1, F.col("h_")), F.col("blocks")).cast("int"))
     placed = in_blocks(rows)
-    # blocks in permuted order; the rest of the target ends inside one of them
-    turn = Window.partitionBy("no").orderBy(_hash(seed + 2, F.col("no"), F.col("block")), "block")
-    blocks = in_blocks(narrow).groupBy("no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
+    # blocks in permuted order; the rest of the target ends inside one of them. Buckets are ranges of that order
+    ring = F.shiftrightunsigned(_hash(seed + 2, F.col("no"), F.col("block")), 11)
+    blocks = in_blocks(narrow).groupBy("no", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("blocks").alias("blocks"))
+    blocks = written(blocks.withColumn("turn", ring).withColumn("bucket", F.floor(F.col("turn") * F.lit(2.0**-53) * F.ceil(F.col("blocks") / BUCKET)).cast("int")), "mix-block-sizes")
+    upto = Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = blocks.groupBy("no", "bucket").agg(F.sum("words").alias("w_"), F.count("*").alias("n_"))
+    buckets = buckets.select("no", "bucket", F.coalesce(F.sum("w_").over(upto), F.lit(0)).alias("w_"), F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("n_"))
+    turn = Window.partitionBy("no", "bucket").orderBy("turn", "block")
     blocks = blocks.withColumn("order", F.row_number().over(turn) - 1).withColumn("before", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words"))
-    blocks = written(blocks.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before")))), "mix-blocks")
-    # quotas in blocks, and the tree's shards for every draw
-    drawn = {r["no"]: r for r in blocks.groupBy("no").agg(F.count("*").alias("n"), F.count_if(F.col("cut") > 0).alias("some")).collect()}  # one row per source
+    blocks = blocks.join(buckets, ["no", "bucket"]).withColumn("order", F.col("order") + F.col("n_")).withColumn("before", F.col("before") + F.col("w_"))
+    blocks = blocks.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before")))).withColumn("more", F.col("before") < F.col("rest"))
+    blocks = written(blocks.select("no", "block", "order", "cut", "more", "passes"), "mix-blocks")
+    # quotas in blocks, and the tree's shards for every draw: pass by pass, in the blocks' order
+    drawn = {r["no"]: r for r in blocks.groupBy("no").agg(F.count("*").alias("n"), F.count_if("more").alias("some")).collect()}  # one row per source
     quotas = [plan[i]["passes"] * drawn[i]["n"] + drawn[i]["some"] for i in range(len(plan))]
-    shards = min(SHARDS, max(1, -(-sum(int(g) for g in goals) // shard_words)))
-    ranges, upto = [], [0] * len(quotas)
-    for shard, own in enumerate(split_quotas(quotas, shards, seed)):
-        for no, n in enumerate(own):
-            if n:
-                ranges.append({"no": no, "shard": shard, "first": upto[no], "n": n})
-                upto[no] += n
-    shard_of = _rows(spark, ranges, "no int, shard int, first bigint, n bigint").select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
-    per = F.when(F.col("cut") > 0, F.col("passes") + 1).otherwise(F.col("passes"))
-    draws = blocks.where(per > 0).select("no", "block", "order", "cut", "passes", F.explode(F.sequence(F.lit(0), per - 1)).alias("pass"))
-    number = Window.partitionBy("no").orderBy("pass", "order")
-    draws = draws.withColumn("draw", (F.row_number().over(number) - 1).cast("long")).join(shard_of, ["no", "draw"])
+    shards = max(1, -(-sum(int(g) for g in goals) // shard_words))
+    shard_of = split_quotas(spark, quotas, shards, seed).select("no", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
+    counts = _rows(spark, [{"no": i, "n": drawn[i]["n"]} for i in drawn], "no int, n bigint")
+    per = F.col("passes") + F.col("more").cast("int")
+    draws = blocks.where(per > 0).join(F.broadcast(counts), "no").select("no", "block", "order", "cut", "n", F.explode(F.sequence(F.lit(0), per - 1)).alias("pass"))
+    draws = draws.withColumn("draw", F.col("pass") * F.col("n") + F.col("order")).join(shard_of, ["no", "draw"])
     of_block = draws.groupBy("no", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("at_"), F.first("cut").alias("cut"))  # three draws at most
     within = Window.partitionBy("no", "block").orderBy("h_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = placed.withColumn("start_", F.sum("size").over(within) - F.col("size")).join(of_block, ["no", "block"], "left")

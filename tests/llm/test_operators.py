@@ -281,7 +281,13 @@ def test_mixing(spark):
     size = {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
     total = {s: sum(size[i] for i in size if sources[i] == s) for s in set(sources)}
     order = sorted((s for s in total if s is not None)) + [None]
-    goals = dict(zip(order, mixing.targets([total[s] for s in order], [3, 1, 2, 3])))
+    # the goals by bisection: every source has weight * level, and twice its size at most
+    weight = dict(zip(order, (3, 1, 2, 3)))
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(weight[s] * level, 2 * total[s]) for s in order) < 1.5 * sum(total.values()) else (low, level)
+    goals = {s: min(weight[s] * low, 2 * total[s]) for s in order}
     assert float(sum(goals.values())) == pytest.approx(1.5 * sum(total.values()))
     took = dict.fromkeys(order, 0)
     for r in first:
@@ -295,13 +301,32 @@ def test_mixing(spark):
     assert sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect()) == pytest.approx(1.5 * sum(total.values()), abs=4)
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_quota_tree_is_exact(seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_quota_tree_is_exact(spark, seed):
     rng = random.Random(seed)
-    quotas, shards = [rng.randint(0, 500) for _ in range(5)], rng.randint(1, 17)
-    out = mixing.split_quotas(quotas, shards, seed)
-    assert len(out) == shards and [sum(c) for c in zip(*out)] == quotas
-    assert all(x >= 0 for own in out for x in own) and max(map(sum, out)) - min(map(sum, out)) <= math.ceil(math.log2(shards)) + 1
+    quotas, shards = [rng.choice([0, 7, 500, 10**7]) for _ in range(5)], rng.choice([1, 2, 13, 40])
+    rows = mixing.split_quotas(spark, quotas, shards, seed).collect()
+    for no, q in enumerate(quotas):
+        own = sorted((r["shard"], r["first"], r["n"]) for r in rows if r["no"] == no)
+        assert sum(n for *_, n in own) == q and all(n > 0 for *_, n in own)
+        assert [f for _, f, _ in own] == [sum(n for *_, n in own[:i]) for i in range(len(own))]
+    totals = [sum(r["n"] for r in rows if r["shard"] == i) for i in range(shards)]
+    assert sum(totals) == sum(quotas) and max(totals) - min(totals) <= math.ceil(math.log2(shards)) + 1
+
+
+@pytest.mark.parametrize("marked, others, drawn", [(5, 7, 6), (1, 3, 2), (300, 200, 120), (60_000, 140_000, 100_000), (4, 10**7, 5_000), (0, 5, 3), (5, 0, 3)])
+def test_hypergeometric_law(spark, marked, others, drawn):
+    """Against the law itself, by counting: uniforms on a grid must hit each value in its probability."""
+    from pyspark.sql import functions as F
+
+    n = 4_000
+    long = lambda x: F.lit(x).cast("long")
+    got = {r["k"]: r["count"] / n for r in spark.range(n).select(mixing.hypergeometric(long(marked), long(others), long(drawn), (F.col("id") + 0.5) / n).alias("k")).groupBy("k").count().collect()}
+    lc = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    law = lambda k: math.exp(lc(marked, k) + lc(others, drawn - k) - lc(marked + others, drawn))
+    low, high = max(0, drawn - others), min(marked, drawn)
+    assert all(low <= k <= high for k in got)
+    assert all(abs(got.get(k, 0) - law(k)) <= 1.5 / n + 1e-6 for k in range(low, high + 1))
 
 
 def test_quality_classifier(spark):
