@@ -22,6 +22,8 @@ from .common import END_ID, body, written
 from .pieces import ByteBpe, loaded
 
 CAPACITY = 1024
+#: Items of one length that are ranked together, about.
+RANKED = 100_000
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -114,7 +116,7 @@ def pack(items: DataFrame, length: str = "length", by: tuple[str, ...] = ("doc_i
     spark = items.sparkSession
     counts = {int(r["n_"]): int(r["c_"]) for r in items.groupBy(F.col(length).cast("int").alias("n_")).agg(F.count("*").alias("c_")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(_places(plan_bins(counts, capacity)))  # bounded by the capacity, not by the data
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(8, -(-max(counts.values(), default=0) // RANKED))
     salted = items.withColumn("salt_", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in by)), F.lit(buckets)).cast("int"))
     before = salted.groupBy(length, "salt_").agg(F.count("*").alias("c_"))
     before = before.withColumn("before_", F.sum("c_").over(Window.partitionBy(length).orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1))).select(length, "salt_", F.coalesce("before_", F.lit(0)).alias("before_"))
@@ -144,7 +146,8 @@ def pack(items: DataFrame, length: str = "length", by: tuple[str, ...] = ("doc_i
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", id_: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Per piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
 
-    A document is its ids and END_ID. Longer ones than the capacity are cut so that all pieces but the first are full. Null texts count as empty (one piece: the end id).
+    A document is its ids and END_ID. Longer ones than the capacity are cut so that all pieces but the first are full. Null texts count as empty (one
+    piece: the end id). Repeated rows are repeated, null ids kept; no rows give no rows; other columns play no part.
     """
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     end = END_ID.to_bytes(4, "little")
