@@ -30,7 +30,8 @@ TAG = "spdx license identifier"
 _KEYS = ("licens", "hereby", "redistribution", "attribution", "rights", "public")
 #: Identifier prefixes (lower case) to labels, longest first.
 IDENTIFIERS = [("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("isc", "isc"), ("bsl", "bsl"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("unlicense", "unlicense")]
-_EXPRESSION = re.compile(r"spdx-license-identifier[\x20\t]*:[\x20\t]*([^\n\r]*)", re.ASCII)
+#: What follows a tag, to the line's end.
+_EXPRESSION = re.compile(r"[\x20\t]*:[\x20\t]*([^\n\r]*)", re.ASCII)
 _TOKEN = re.compile(r"\(|\)|[a-z0-9.+-]+", re.ASCII)
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -123,9 +124,12 @@ def scan(text: str) -> dict:
                 first = word - line.count(" ", start, at)
             found.append((phrase, first, first + n))
     expressions = []
-    if "spdx-license-identifier" in low:
-        for m in _EXPRESSION.finditer(low):
-            postfix = shunting_yard(m[1])
+    tags = [end for phrase, _, end in found if phrase == TAG]
+    if tags:
+        ends = [m.end() for m in _WORD.finditer(low)]
+        for word in tags:
+            m = _EXPRESSION.match(low, ends[word - 1])
+            postfix = m and shunting_yard(m[1])
             if postfix:
                 expressions.append((m[1], *evaluate(postfix)))
     return {"n_words": len(words), "places": found, "expressions": expressions}
@@ -155,7 +159,8 @@ _SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last
 def scan_licenses(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """One row per document: counts, labels and score (0 to 1, the strongest evidence), the places (phrase:first word:end) and tag expressions.
 
-    Null texts count as empty: no words, no labels, score 0. Texts are scanned whole; repeated rows are repeated.
+    Null texts count as empty: no words, no labels, score 0. Texts of any length are scanned whole; repeated rows are repeated, null ids kept; no rows
+    give no rows; other columns play no part. Of several pieces of evidence that tie, all give their labels.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

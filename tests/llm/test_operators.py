@@ -250,16 +250,70 @@ def test_secret_scan(spark, texts):
     assert any("entropy_hex" in g[4] for g in got.values()) and any("entropy_base64" in g[4] for g in got.values())
 
 
+def expression(text):
+    """(labels, met) of the longest start of a text that is a licence expression, by recursive descent; null without one."""
+    tokens = re.findall(r"\(|\)|[a-z0-9.+-]+", text, re.ASCII)
+    known = lambda t: next((label for prefix, label in license_scan.IDENTIFIERS if re.fullmatch(re.escape(prefix) + r"([-+].*)?", t)), None)
+
+    def one(ts, i):
+        if i < len(ts) and ts[i] == "(":
+            got = level(ts, i + 1, 0)
+            return (got[0], got[1] + 1) if got and got[1] < len(ts) and ts[got[1]] == ")" else None
+        if i < len(ts) and ts[i] not in ("(", ")", "and", "or", "with"):
+            label = known(ts[i])
+            return (({label} if label else set(), label is not None), i + 1)
+        return None
+
+    def level(ts, i, n):
+        word = ("or", "and", "with")[n] if n < 3 else None
+        if n == 3:
+            return one(ts, i)
+        got = level(ts, i, n + 1)
+        while got and got[1] < len(ts) and ts[got[1]] == word:
+            more = level(ts, got[1] + 1, n + 1)
+            if not more:
+                return None
+            (a, x), (b, y) = got[0], more[0]
+            got = ((a, x) if word == "with" else (a | b, x and y if word == "and" else x or y), more[1])
+        return got
+
+    for n in range(len(tokens), 0, -1):
+        got = level(tokens[:n], 0, 0)
+        if got and got[1] == n:
+            return got[0]
+    return None
+
+
 def test_license_scan(spark, texts):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     some = [*texts, "x MIT License. Apache\n\nlicense mit  license", "GNU General-Public_License", "permit license", "mit licenses", "SPDX-License-Identifier: Apache-2.0 OR (GPL-2.0-only AND MIT)"]
+    some += ["// SPDX License Identifier: MIT", "SPDX-License-Identifier:Foo OR ISC */\nspdx_license/identifier : (BSD-3-Clause and EULA) trailing", "SPDX-License-Identifier MIT", "SPDX-License-Identifier: and mit"]
+    some += ["Permission is hereby granted, free of charge", "Licensed under the Apache License, Version 2.0", "all rights reserved. MIT License", "Ünder the GNU Affero General Public License é", "the mozilla public\nlicense", "GPL-3.0", None]
+    rng = random.Random(11)
+    bits = ["mit", "gpl-2.0+", "foo", "and", "or", "with", "(", ")", "cc-by-4.0", "isc"]
+    some += ["spdx-license-identifier: " + " ".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(150)]
+    phrases = {p: None for p in license_scan.BASE} | license_scan.NOTICES
     for i, r in enumerate(sorted(license_scan.scan_licenses(table(spark, some)).collect())):
-        w = word.findall((some[i] or "").translate(FOLD))
-        at = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + phrase.count(" ") + 1] == phrase.split()]
+        low = (some[i] or "").translate(FOLD)
+        w = word.findall(low)
+        places = lambda phrase: [k for k in range(len(w)) if w[k : k + phrase.count(" ") + 1] == phrase.split()]  # noqa: E731, B023
+        at = [(k, label) for phrase, label in license_scan.BASE.items() for k in places(phrase)]
         starts = [k for k, _ in at]
         assert (r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (i, len(w), len(at), min(starts, default=None), max(starts, default=None))
-        assert r["base_labels"] == ",".join(sorted({label for _, label in at}))
-        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+        base = {label for _, label in at}
+        labels, score = set(base), 0.6 if base else 0.0
+        for phrase, notice in phrases.items():
+            if notice and places(phrase):
+                labels.add(notice[0])
+                score = max(score, notice[1])
+        ends = [m.end() for m in word.finditer(low)]
+        for k in places("spdx license identifier"):
+            line = re.match(r"[ \t]*:([^\n\r]*)", low[ends[k + 2] :])
+            got = line and expression(line[1])
+            if got:
+                labels |= got[0]
+                score = max(score, 1.0 if got[1] else 0.5)
+        assert (r["base_labels"], r["labels"], r["score"]) == (",".join(sorted(base)), ",".join(sorted(labels)), score), some[i]
 
 
 def test_licence_expressions():
