@@ -34,8 +34,8 @@ CHUNK = 250_000
 HELD_OUT = 5
 #: Thresholds are at this quantile of a language's held-out documents; OWN_DOCS of them are needed for a language to have its own.
 QUANTILE, OWN_DOCS = 0.995, 30
-#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of a round's rest up to which there is a filter of them (16 MB).
-HEAD_ROWS, FILTER_ROWS = 1_000_000, 32_000_000
+#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of a round's rest up to which there is a filter of them (8 MB).
+HEAD_ROWS, FILTER_ROWS = 500_000, 16_000_000
 #: Words that are broadcast while the model is made; pairs of other ones take two joins.
 WORD_ROWS = 400_000
 #: The rest of the grams is joined in so many rounds, so that no more than such a part of them is on disk at a time; each reads the texts again.
@@ -45,7 +45,7 @@ HELD_GRAMS = 4_000_000
 _EDGE_SIGN = "\U0010ffff"
 _WORD_BITS = 31
 _EDGE_WORD = (1 << _WORD_BITS) - 1
-_SLICES, _SLICE_BITS = 61, 21
+_SLICES, _SLICE_BITS = 61, 20
 
 
 @lru_cache(1)
