@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import QUERY_KINDS, TOP_LIMIT, edge_kind
@@ -100,3 +100,12 @@ class Lookup:
 
     def heap_estimate(self) -> DataFrame:
         return self.edge_counts().select((256 * F.col("node_count") + 24 * F.col("edge_count")).alias("bytes"))
+
+    @staticmethod
+    def node_id(path: Column) -> Column:
+        """A path's 60-bit id, the same in every graph."""
+        return F.conv(F.left(F.md5(path), F.lit(15)), 16, 10).cast("long")
+
+    def path_of(self, ids: DataFrame) -> DataFrame:
+        """id, path of those ids (one column, id) that nodes have."""
+        return ids.select("id").distinct().join(self.nodes.select(self.node_id(F.col("path")).alias("id"), "path"), "id").select("id", "path")

@@ -68,6 +68,10 @@ class Maintenance:
     def replace_file(self, file: str, new):
         return self.replace_files(self.spark.createDataFrame([(file,)], "file string"), new)
 
+    def replace_from_store(self, file: str, store):
+        """The file as another graph has it, with its edges and what these point to."""
+        return self.replace_file(file, store.extract_file(file))
+
     def redirect(self, moves: DataFrame, drop: bool = True):
         """moves (old, new): edges of every kind go to the new node, loops that this makes are dropped, and so are the old nodes."""
         a, b = (moves.select(F.col("old").alias(f"{c}_old"), F.col("new").alias(f"{c}_new")) for c in ("src", "dst"))
@@ -96,5 +100,5 @@ class Maintenance:
 
     def resolve_stubs(self):
         """By unique name first, then by imports."""
-        once = self.redirect(self.stub_moves_by_name())
+        once = self.redirect(self.stub_moves_by_name()).written()
         return once.redirect(once.stub_moves_by_imports())

@@ -20,16 +20,17 @@ _PICKS = {"caller": ("calls", "src"), "callee": ("calls", "dst"), "sub": ("exten
 def pick(g: SymbolGraph, name: str) -> str:
     """The path that is most often at that end of an edge: a parameter that holds at every scale. One row."""
     kind, end = _PICKS[name]
-    return g.kind(kind).groupBy(end).agg(F.count("*").alias("n")).orderBy(F.desc("n"), end).first()[end]
+    known = g.__dict__.setdefault("picked", {})
+    if name not in known:
+        known[name] = g.kind(kind).groupBy(end).agg(F.count("*").alias("n")).orderBy(F.desc("n"), end).first()[end]
+    return known[name]
 
 
-def _add(name: str, run: Callable, sql: str | None, *picks: str, many: bool = False) -> None:
-    """run(graph, *picked paths) -> DataFrame. many: goes over the graph more than once, so it is written first."""
+def _add(name: str, run: Callable, sql: str | None, *picks: str) -> None:
+    """run(graph, *picked paths) -> DataFrame."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = derived_graph(spark, sf_dir)
-        if many or picks:
-            g = g.written()
         return run(g, *(pick(g, p) for p in picks))
 
     query.__name__ = name
@@ -118,7 +119,7 @@ pr(i, path, s) AS (SELECT 0, path, 1.0::DOUBLE / n FROM sym, n UNION ALL
   SELECT i, path, sum(s) FROM (
     SELECT pr.i + 1 AS i, c.dst AS path, 0.85 * pr.s / w.k AS s FROM pr JOIN calls c ON c.src = pr.path JOIN w ON w.src = pr.path WHERE pr.i < 20
     UNION ALL SELECT t.i, sym.path, t.s FROM (SELECT pr.i + 1 AS i, 0.15 / max(n.n) + 0.85 * coalesce(sum(pr.s) FILTER (w.k IS NULL), 0) / max(n.n) AS s FROM pr LEFT JOIN w ON w.src = pr.path CROSS JOIN n WHERE pr.i < 20 GROUP BY pr.i) t CROSS JOIN sym) GROUP BY i, path)
-SELECT path, round(s, 12) AS score FROM pr WHERE i = 20 ORDER BY s DESC, path LIMIT 10""", many=True)
+SELECT path, round(s, 12) AS score FROM pr WHERE i = 20 ORDER BY s DESC, path LIMIT 10""")
 
 # Reachability
 _DOWN = ", r(path, d) AS (SELECT p, 0 FROM {0} UNION SELECT e.{2}, d + 1 FROM r JOIN {4} e ON e.{1} = r.path WHERE d < {3})"
@@ -171,50 +172,50 @@ _WCC = """, und(a, b) AS (SELECT src, dst FROM {0} UNION SELECT dst, src FROM {0
 cc(id, l) USING KEY (id) AS (SELECT path, path FROM sym UNION SELECT u.id, min(v.l) FROM cc v JOIN und x ON x.b = v.id JOIN recurring.cc u ON u.id = x.a WHERE v.l < u.l GROUP BY u.id, u.l),
 g AS (SELECT l, count(*) AS n, min(id) AS f FROM cc GROUP BY l), gr AS (SELECT l, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS group_rank FROM g)
 SELECT group_rank, id AS member FROM cc JOIN gr USING (l)"""
-_add("wcc", lambda g: g.wcc(), _WCC.format("calls"), many=True)
-_add("wcc__extends", lambda g: g.wcc("extends"), _WCC.format("ext"), many=True)
+_add("wcc", lambda g: g.wcc(), _WCC.format("calls"))
+_add("wcc__extends", lambda g: g.wcc("extends"), _WCC.format("ext"))
 _CLOSURE = ", c(a, b) AS (SELECT src, dst FROM calls UNION SELECT c.a, e.dst FROM c JOIN calls e ON e.src = c.b), rep AS (SELECT x.a AS path, min(least(x.a, x.b)) AS l FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"
 _SCC = _CLOSURE + ", s AS (SELECT path, coalesce(l, path) AS l FROM sym LEFT JOIN rep USING (path)), g AS (SELECT l, count(*) AS n, min(path) AS f FROM s GROUP BY l HAVING count(*) >= {0}), gr AS (SELECT l, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS group_rank FROM g) SELECT group_rank, path AS member FROM s JOIN gr USING (l)"
-_add("scc", lambda g: g.scc(), _SCC.format(1), many=True)
-_add("scc_groups", lambda g: g.scc_groups(), _SCC.format(2), many=True)
-_add("cycle_members", lambda g: g.cycle_members(), _CLOSURE + " SELECT path FROM rep WHERE path IN (SELECT a FROM c x WHERE a <> b AND EXISTS (SELECT 1 FROM c y WHERE y.a = x.b AND y.b = x.a))", many=True)
-_add("nodes_in_cycles", lambda g: g.nodes_in_cycles("imports"), ", c(a, b) AS (SELECT src, dst FROM imports UNION SELECT c.a, e.dst FROM c JOIN imports e ON e.src = c.b) SELECT a AS path FROM c WHERE a = b", many=True)
-_add("dependency_layers", lambda g: g.dependency_layers("extends"), ", r(path, d) AS (SELECT path, 0 FROM sym WHERE path NOT IN (SELECT src FROM ext) UNION SELECT e.src, d + 1 FROM r JOIN ext e ON e.dst = r.path) SELECT max(d) AS layer, path FROM r GROUP BY path", many=True)
-_add("topological_sort", lambda g: g.topological_sort(), None, many=True)
-_add("topological_sort__cyclic", lambda g: g.topological_sort().where("cyclic").select("path"), ", c(a, b) AS (SELECT src, dst FROM calls UNION SELECT c.a, e.dst FROM c JOIN calls e ON e.src = c.b) SELECT DISTINCT path FROM (SELECT a AS path FROM c WHERE a = b UNION SELECT y.b FROM c x JOIN c y ON y.a = x.a WHERE x.a = x.b)", many=True)
+_add("scc", lambda g: g.scc(), _SCC.format(1))
+_add("scc_groups", lambda g: g.scc_groups(), _SCC.format(2))
+_add("cycle_members", lambda g: g.cycle_members(), _CLOSURE + " SELECT path FROM rep WHERE path IN (SELECT a FROM c x WHERE a <> b AND EXISTS (SELECT 1 FROM c y WHERE y.a = x.b AND y.b = x.a))")
+_add("nodes_in_cycles", lambda g: g.nodes_in_cycles("imports"), ", c(a, b) AS (SELECT src, dst FROM imports UNION SELECT c.a, e.dst FROM c JOIN imports e ON e.src = c.b) SELECT a AS path FROM c WHERE a = b")
+_add("dependency_layers", lambda g: g.dependency_layers("extends"), ", r(path, d) AS (SELECT path, 0 FROM sym WHERE path NOT IN (SELECT src FROM ext) UNION SELECT e.src, d + 1 FROM r JOIN ext e ON e.dst = r.path) SELECT max(d) AS layer, path FROM r GROUP BY path")
+_add("topological_sort", lambda g: g.topological_sort(), None)
+_add("topological_sort__cyclic", lambda g: g.topological_sort().where("cyclic").select("path"), ", c(a, b) AS (SELECT src, dst FROM calls UNION SELECT c.a, e.dst FROM c JOIN calls e ON e.src = c.b) SELECT DISTINCT path FROM (SELECT a AS path FROM c WHERE a = b UNION SELECT y.b FROM c x JOIN c y ON y.a = x.a WHERE x.a = x.b)")
 _CORE = ", a(i, path) AS (SELECT 0, path FROM sym UNION ALL SELECT i + 1, path FROM (SELECT x.i, x.path FROM a x JOIN {0} e ON x.path IN (e.src, e.dst) JOIN a y ON y.path = CASE WHEN e.src = x.path THEN e.dst ELSE e.src END GROUP BY x.i, x.path HAVING count(*) >= {1}) WHERE i < 40) SELECT path FROM a WHERE i = 40"
-_add("k_core", lambda g: g.k_core(2, "extends"), _CORE.format("ext", 2), many=True)
-_add("k_core__calls", lambda g: g.k_core(3), _CORE.format("calls", 3), many=True)
+_add("k_core", lambda g: g.k_core(2, "extends"), _CORE.format("ext", 2))
+_add("k_core__calls", lambda g: g.k_core(3), _CORE.format("calls", 3))
 _UNDE = ", und(a, b) AS (SELECT src, dst FROM ext UNION SELECT dst, src FROM ext)"
-_add("articulation_points", lambda g: g.articulation_points("extends"), _UNDE + ", r(v, n) AS (SELECT a, min(b) FROM und GROUP BY a UNION SELECT r.v, u.b FROM r JOIN und u ON u.a = r.n WHERE u.b <> r.v) SELECT DISTINCT a AS path FROM und WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.v = und.a AND r.n = und.b)", many=True)
-_add("bridge_edges", lambda g: g.bridge_edges("extends"), _UNDE + ", r(x, y, v) AS (SELECT a, b, a FROM und WHERE a < b UNION SELECT r.x, r.y, u.b FROM r JOIN und u ON u.a = r.v WHERE NOT (least(u.a, u.b) = r.x AND greatest(u.a, u.b) = r.y)) SELECT a, b FROM und WHERE a < b AND NOT EXISTS (SELECT 1 FROM r WHERE r.x = und.a AND r.y = und.b AND r.v = und.b)", many=True)
+_add("articulation_points", lambda g: g.articulation_points("extends"), _UNDE + ", r(v, n) AS (SELECT a, min(b) FROM und GROUP BY a UNION SELECT r.v, u.b FROM r JOIN und u ON u.a = r.n WHERE u.b <> r.v) SELECT DISTINCT a AS path FROM und WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.v = und.a AND r.n = und.b)")
+_add("bridge_edges", lambda g: g.bridge_edges("extends"), _UNDE + ", r(x, y, v) AS (SELECT a, b, a FROM und WHERE a < b UNION SELECT r.x, r.y, u.b FROM r JOIN und u ON u.a = r.v WHERE NOT (least(u.a, u.b) = r.x AND greatest(u.a, u.b) = r.y)) SELECT a, b FROM und WHERE a < b AND NOT EXISTS (SELECT 1 FROM r WHERE r.x = und.a AND r.y = und.b AND r.v = und.b)")
 _add("biconnected_components", lambda g: g.biconnected_components("extends"), _UNDE + """, r(v, s, n) AS (SELECT a, b, b FROM und UNION SELECT r.v, r.s, u.b FROM r JOIN und u ON u.a = r.n WHERE u.b <> r.v),
 same AS (SELECT DISTINCT least(r.v, r.s) || ' ' || greatest(r.v, r.s) AS e, least(r.v, r.n) || ' ' || greatest(r.v, r.n) AS f FROM r JOIN und u ON u.a = r.v AND u.b = r.n),
 c(e, f) AS (SELECT e, f FROM same UNION SELECT c.e, same.f FROM c JOIN same ON same.e = c.f), blk AS (SELECT e, min(f) AS l FROM c GROUP BY e),
 mem AS (SELECT DISTINCT l, m FROM (SELECT l, unnest([a, b]) AS m FROM und JOIN blk ON e = least(a, b) || ' ' || greatest(a, b))),
-g AS (SELECT l, CAST(row_number() OVER (ORDER BY list_sort(list(m))) AS INTEGER) AS group_rank FROM mem GROUP BY l) SELECT group_rank, m AS member FROM mem JOIN g USING (l)""", many=True)
+g AS (SELECT l, CAST(row_number() OVER (ORDER BY list_sort(list(m))) AS INTEGER) AS group_rank FROM mem GROUP BY l) SELECT group_rank, m AS member FROM mem JOIN g USING (l)""")
 
 # Centrality
 _PAIRS = ", r(a, b, d) AS (SELECT src, dst, 1 FROM ext UNION SELECT r.a, e.dst, d + 1 FROM r JOIN ext e ON e.src = r.b), dist AS (SELECT a, b, min(d) AS d FROM r WHERE a <> b GROUP BY a, b)"
-_add("closeness", lambda g: g.closeness("extends").select("path", F.round("score", 12).alias("score")), _PAIRS + ", c AS (SELECT a, count(*) AS k, sum(d) AS t FROM dist GROUP BY a) SELECT path, round(coalesce((k / ((SELECT count(*) FROM sym) - 1)) ** 2 * (k / t), 0), 12) AS score FROM sym LEFT JOIN c ON a = path", many=True)
+_add("closeness", lambda g: g.closeness("extends").select("path", F.round("score", 12).alias("score")), _PAIRS + ", c AS (SELECT a, count(*) AS k, sum(d) AS t FROM dist GROUP BY a) SELECT path, round(coalesce((k / ((SELECT count(*) FROM sym) - 1)) ** 2 * (k / t), 0), 12) AS score FROM sym LEFT JOIN c ON a = path")
 _add("betweenness", lambda g: g.betweenness("extends").select("path", F.round("score", 12).alias("score")), _PAIRS + """, w(a, b, d, n) AS (SELECT src, dst, 1, 1::DOUBLE FROM ext UNION ALL SELECT a, b, d, sum(n) FROM (SELECT w.a, e.dst AS b, w.d + 1 AS d, w.n FROM w JOIN ext e ON e.src = w.b JOIN dist x ON x.a = w.a AND x.b = e.dst AND x.d = w.d + 1) GROUP BY a, b, d),
 ways AS (SELECT w.a, w.b, w.d, w.n FROM w JOIN dist USING (a, b, d)),
 s AS (SELECT l.b AS path, sum(l.n * r.n / t.n) AS s FROM ways l JOIN ways r ON r.a = l.b JOIN ways t ON t.a = l.a AND t.b = r.b AND t.d = l.d + r.d WHERE l.a <> r.b GROUP BY l.b)
-SELECT path, round(coalesce(s, 0) / (((SELECT count(*) FROM sym) - 1) * ((SELECT count(*) FROM sym) - 2)), 12) AS score FROM sym LEFT JOIN s USING (path)""", many=True)
+SELECT path, round(coalesce(s, 0) / (((SELECT count(*) FROM sym) - 1) * ((SELECT count(*) FROM sym) - 2)), 12) AS score FROM sym LEFT JOIN s USING (path)""")
 
 # The same over the whole calls graph, the operators' default; a statement only where it stays cheap there
-_add("articulation_points__calls", lambda g: g.articulation_points(), None, many=True)
-_add("bridge_edges__calls", lambda g: g.bridge_edges(), None, many=True)
-_add("biconnected_components__calls", lambda g: g.biconnected_components(), None, many=True)
-_add("closeness__calls", lambda g: g.closeness().select("path", F.round("score", 12).alias("score")), None, many=True)
-_add("betweenness__calls", lambda g: g.betweenness().select("path", F.round("score", 12).alias("score")), None, many=True)
+_add("articulation_points__calls", lambda g: g.articulation_points(), None)
+_add("bridge_edges__calls", lambda g: g.bridge_edges(), None)
+_add("biconnected_components__calls", lambda g: g.biconnected_components(), None)
+_add("closeness__calls", lambda g: g.closeness().select("path", F.round("score", 12).alias("score")), None)
+_add("betweenness__calls", lambda g: g.betweenness().select("path", F.round("score", 12).alias("score")), None)
 _add("reachable_set__calls", lambda g, p: g.reachable_set(p), _ALL.format("caller", "src", "dst", "calls") + " SELECT path FROM r WHERE path NOT IN (SELECT p FROM caller)", "caller")
 _add("reaches_into__calls", lambda g, p: g.reaches_into(p), _ALL.format("callee", "dst", "src", "calls") + " SELECT path FROM r WHERE path NOT IN (SELECT p FROM callee)", "callee")
 _add("common_reachable__calls", lambda g, a, b: g.common_reachable(a, b), ", a(path) AS (SELECT p FROM caller UNION SELECT e.dst FROM a JOIN calls e ON e.src = a.path), b(path) AS (SELECT p FROM callee UNION SELECT e.dst FROM b JOIN calls e ON e.src = b.path) SELECT path FROM a WHERE path IN (SELECT path FROM b) AND path NOT IN (SELECT p FROM caller UNION ALL SELECT p FROM callee)", "caller", "callee")
 _add("mutual_reachability__calls", lambda g, a, b: g.mutual_reachability(a, b), None, "caller", "callee")
 _add("eccentricity__calls", lambda g, p: g.eccentricity(p), None, "caller")
 _add("harmonic__calls", lambda g, p: g.harmonic(p), None, "caller")
-_add("dependency_layers__calls", lambda g: g.dependency_layers(), None, many=True)
+_add("dependency_layers__calls", lambda g: g.dependency_layers(), None)
 _add("dependency_depth__calls", lambda g, p: g.dependency_depth(p), None, "callee")
 _add("shortest_path__calls", lambda g, p: g.shortest_path(p, _farthest(g, p, "calls", None)), None, "caller")
 
@@ -257,17 +258,6 @@ _add("upsert_node", lambda g: g.upsert_node("src/new.py>f", "function").nodes.se
 _add("upsert_edge", lambda g, p: g.upsert_edge("calls", p, p).edges, _EDGES + " UNION SELECT 'calls', p, p FROM caller", "caller")
 
 
-def _merged(g: SymbolGraph) -> DataFrame:
-    half = lambda last: SymbolGraph(g.base_nodes.where(F.col("path").endswith(last)), g.edges.where(F.col("src").endswith(last)))
-    out = half("1")
-    for last in ("2", "1", "3"):
-        out = out.merge(half(last))
-    return out.nodes.select("path", "node_kind")
-
-
-_add("merge", _merged, "SELECT path, node_kind FROM nodes WHERE right(path, 1) IN ('1', '2', '3')", many=True)
-
-
 def _merged_whole(g: SymbolGraph) -> DataFrame:
     """Nodes and edges of three merged parts that cover the graph: each file is in two of them, an edge where its source is."""
     def part(k: int) -> SymbolGraph:
@@ -279,7 +269,7 @@ def _merged_whole(g: SymbolGraph) -> DataFrame:
     return nodes.unionByName(out.edges.select(F.lit("edge").alias("what"), "kind", "src", "dst"))
 
 
-_add("merge__whole", _merged_whole, "SELECT 'node' AS what, node_kind AS kind, path AS src, NULL AS dst FROM nodes UNION ALL SELECT 'edge', kind, src, dst FROM edges", many=True)
+_add("merge", _merged_whole, "SELECT 'node' AS what, node_kind AS kind, path AS src, NULL AS dst FROM nodes UNION ALL SELECT 'edge', kind, src, dst FROM edges")
 
 
 def _stubbed(g: SymbolGraph) -> SymbolGraph:
@@ -291,7 +281,22 @@ def _stubbed(g: SymbolGraph) -> SymbolGraph:
     return SymbolGraph(g.base_nodes.select("path", "node_kind").unionByName(stubs.withColumn("node_kind", F.lit(None).cast("string"))), edges)
 
 
-_add("resolve_stubs_simple", lambda g: _stubbed(g).redirect(_stubbed(g).stub_moves_by_name()).edges, _EDGES + " WHERE NOT (src = dst AND kind = 'calls' AND right(dst, 1) = '7')", many=True)
+_add("resolve_stubs_simple", lambda g: _stubbed(g).redirect(_stubbed(g).stub_moves_by_name()).edges, _EDGES + " WHERE NOT (src = dst AND kind = 'calls' AND right(dst, 1) = '7')")
+
+def _ambiguous(g: SymbolGraph) -> SymbolGraph:
+    """What members implement is called instead, by the class's bare name, which classes of several files bear."""
+    name = paths.name_of(F.col("dst"))
+    calls = g.kind("implements").select(F.lit("calls").alias("kind"), "src", name.alias("dst")).distinct()
+    stubs = calls.select(F.col("dst").alias("path"), F.lit(None).cast("string").alias("node_kind")).distinct()
+    return SymbolGraph(g.base_nodes.select("path", "node_kind").unionByName(stubs), g.edges.where("kind = 'imports'").unionByName(calls))
+
+
+_AMBIGUOUS = """, st AS (SELECT DISTINCT split_part(dst, '>', -1) AS old, src, split_part(src, '>', 1) AS f FROM impl),
+v AS (SELECT old, d.path AS new, count(DISTINCT st.src) AS votes FROM st JOIN sym d ON d.name = old JOIN imports i ON i.src = st.f AND i.dst IN (d.path, d.file) GROUP BY ALL),
+mv AS (SELECT old, new FROM (SELECT *, row_number() OVER (PARTITION BY old ORDER BY votes DESC, new) AS r FROM v) WHERE r = 1)"""
+_add("resolve_stubs_import", lambda g: (lambda a: a.redirect(a.stub_moves_by_imports()).edges)(_ambiguous(g)), _AMBIGUOUS + " SELECT kind, src, dst FROM edges WHERE kind = 'imports' UNION SELECT 'calls', st.src, coalesce(mv.new, st.old) FROM st LEFT JOIN mv USING (old) WHERE st.src <> coalesce(mv.new, st.old)")
+_ID = "CAST('0x' || left(md5(path), 15) AS BIGINT)"
+_add("path_of", lambda g: g.path_of(g.symbols.where("node_kind = 'constant'").select(g.node_id(F.col("path")).alias("id"))), f"SELECT {_ID} AS id, path FROM sym WHERE node_kind = 'constant'")
 _add("redirect_node", lambda g, a, b: g.redirect(g.spark.createDataFrame([(a, b)], "old string, new string")).edges, ", m AS (SELECT (SELECT p FROM caller) AS a, (SELECT p FROM callee) AS b) SELECT DISTINCT kind, CASE WHEN src = m.a THEN m.b ELSE src END AS src, CASE WHEN dst = m.a THEN m.b ELSE dst END AS dst FROM edges, m WHERE NOT (m.a IN (src, dst) AND CASE WHEN src = m.a THEN m.b ELSE src END = CASE WHEN dst = m.a THEN m.b ELSE dst END)", "caller", "callee")
 
 
@@ -313,9 +318,9 @@ o AS (SELECT *, row_number() OVER (ORDER BY pos, kind, way, other) AS o_ FROM x
 SELECT pos, path FROM eps UNION ALL SELECT CAST(1 + row_number() OVER (ORDER BY o_) AS INTEGER), other FROM f""", "caller", "sup")
 _add("ctx_related_files", lambda g, p: g.ctx_related_files(g.callees(p).select((F.row_number().over(_by_path()) - 1).alias("pos"), "path")), ", n AS (SELECT dst AS path, row_number() OVER (ORDER BY dst) - 1 AS pos FROM calls WHERE src = (SELECT p FROM caller)) SELECT split_part(path, '>', 1) AS file, CAST(min(pos) AS INTEGER) AS pos FROM n GROUP BY 1", "caller")
 _add("ctx_blocks", lambda g, p: g.ctx_blocks(g.callers(p).select((F.row_number().over(_by_path()) - 1).alias("pos"), "path")).drop("span"), ", n AS (SELECT src AS path, row_number() OVER (ORDER BY src) - 1 AS pos FROM calls WHERE dst = (SELECT p FROM callee)) SELECT CAST(min(pos) AS INTEGER) AS pos, split_part(path, '>', 1) AS file, arg_min(split_part(path, '>', -1), pos) AS symbol FROM n GROUP BY 2 ORDER BY 1 LIMIT 6", "callee")
-_add("context", lambda g: _flat(g.context("how does PROMO burnished flow into m12"), "candidates", "entry_points", "nodes", "edges", "related_files", "code_blocks"), None, many=True)
-_add("context__selector", lambda g: _flat(g.context(".class:extends"), "candidates", "entry_points", "nodes", "edges", "related_files", "code_blocks"), None, many=True)
-_add("query_context", lambda g: g.context("trace m15").select("routing", F.array_join("entry_points", " | ").alias("entry_points")), None, many=True)
+_add("context", lambda g: _flat(g.context("how does PROMO burnished flow into m12"), "candidates", "entry_points", "nodes", "edges", "related_files", "code_blocks"), None)
+_add("context__selector", lambda g: _flat(g.context(".class:extends"), "candidates", "entry_points", "nodes", "edges", "related_files", "code_blocks"), None)
+_add("query_context", lambda g: g.context("trace m15").select("routing", F.array_join("entry_points", " | ").alias("entry_points")), None)
 _add("budget_resolve", lambda g: g.budget_resolve(), "SELECT CASE WHEN count(*) < 500 THEN 'small' WHEN count(*) < 5000 THEN 'medium' ELSE 'large' END AS mode, CASE WHEN count(*) < 500 THEN 15 WHEN count(*) < 5000 THEN 30 ELSE 50 END AS max_nodes, CASE WHEN count(*) < 500 THEN 30 WHEN count(*) < 5000 THEN 60 ELSE 100 END AS max_edges FROM nodes")
 
 

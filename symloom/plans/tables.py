@@ -13,19 +13,28 @@ SMALL_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder all executors share. Where it is unset, as in tests, a local one is set."""
+    """spark.checkpoint.dir, the folder all executors share. Only where it is unset and driver and executors are one process, as in tests, a local one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="symloom-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """df as a table in the shared folder, read back: no lineage, and nothing to lose with an executor."""
+    """df as a table in the shared folder, read back: no lineage, and nothing to lose with an executor. Its shuffle files go at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import SymbolGraph
+from ..plans.tables import written
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,21 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "p_size", file.alias("file"), F.concat_ws(">", file, "p_type").alias("cls"), F.concat(file, F.lit(">"), "p_type", F.lit(">m"), F.col("p_partkey").cast("string")).alias("member"))
 
 
+_made: dict[tuple[str, str], SymbolGraph] = {}
+
+
 def derived_graph(spark: SparkSession, sf_dir: str) -> SymbolGraph:
+    """The graph of a folder's tables, written once per application: nodes in the order of their paths, edges in that of kind and source."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made.clear()
+        g = _derived(spark, sf_dir)
+        nodes = written(g.base_nodes.repartitionByRange("path").sortWithinPartitions("path"), "nodes")
+        _made[key] = SymbolGraph(nodes, written(g.edges.repartitionByRange("kind", "src").sortWithinPartitions("kind", "src", "dst"), "edges"))
+    return _made[key]
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> SymbolGraph:
     p = _paths(spark, sf_dir)
     kind = F.when(F.col("p_size") % 3 == 0, "function").when(F.col("p_size") % 3 == 1, "method").otherwise("constant")
     nodes = p.select(F.col("file").alias("path"), F.lit("file").alias("node_kind")).distinct()

@@ -310,7 +310,7 @@ def graph_of(files: DataFrame) -> tuple[SymbolGraph, DataFrame]:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct().join(nodes.select("path"), "path", "left_anti")
     loose = ends.select("path", F.lit(None).cast("string").alias("node_kind"), F.lit(None).cast(SPAN).alias("span"))
     graph = SymbolGraph(nodes.unionByName(loose), edges).written()
-    return graph.resolve_stubs(), rows.where("what = 'error'").select("path", F.col("node_kind").alias("error"), F.col("dst").alias("message"))
+    return graph.resolve_stubs().written(), rows.where("what = 'error'").select("path", F.col("node_kind").alias("error"), F.col("dst").alias("message"))
 
 
 def index(spark: SparkSession, root: str) -> tuple[SymbolGraph, DataFrame]:
@@ -322,3 +322,16 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose content differs from known (path, digest): only these need extraction again."""
     digest = files.withColumn("digest", F.sha2("content", 256))
     return digest.join(known.select("path", "digest"), ["path", "digest"], "left_anti")
+
+
+def sync_files(graph: SymbolGraph, files: DataFrame) -> tuple[SymbolGraph, DataFrame]:
+    """Takes up changed files (path, content; null content: the file is gone) at once: (the new graph, file, symbols before, symbols after)."""
+    from ..plans.tables import written
+
+    names = written(files.select(F.col("path").alias("file")).distinct(), "synced")
+    new, _ = graph_of(files.where("content IS NOT NULL"))
+    out = graph.replace_files(names, new).written().resolve_stubs().written()
+    count = lambda g, c: g.symbols.join(names, "file", "left_semi").groupBy("file").agg(F.count("*").alias(c))
+    zero = F.lit(0).cast("long")
+    counts = names.join(count(graph, "before"), "file", "left").join(count(out, "after"), "file", "left")
+    return out, counts.select("file", F.coalesce("before", zero).alias("before"), F.coalesce("after", zero).alias("after"))

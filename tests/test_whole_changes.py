@@ -9,7 +9,10 @@ from symloom.plans import catalog, catalog_changes
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
-NAMES = ["merge__whole", "symbol_delta__whole", "match_files__whole", "match_symbols__whole", "delta_caps__whole", "push_graph_changed__whole", "set_summary__whole"]
+NAMES = [
+    "merge", "symbol_delta", "match_files", "match_symbols", "delta_caps", "push_graph_changed", "set_summary", "resolve_stubs_import", "path_of", "load_with_journal", "journal_append", "journal_compact", "snapshot_save",
+    "extract_refs", "extract_alias", "type_imports", "ingest_parallel", "kind_map_capture", "sync_file", "replace_from_store", "watch_attach", "watch_drive", "py_rel_import", "ts_rel_import",
+]
 
 
 @pytest.fixture(scope="module")
