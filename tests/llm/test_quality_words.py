@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import statistics
 from collections import Counter
 
 import pytest
@@ -44,6 +45,31 @@ def plain_model(texts):
     return p
 
 
+def line(x, y):
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    over = sum((p - mx) ** 2 for p in x)
+    b = sum((p - mx) * (q - my) for p, q in zip(x, y)) / over if over else 0.0
+    return my - b * mx, b
+
+
+def fit(pairs, quantile):
+    """a, b, c, d, z of (number of grams, perplexity) pairs: enough of them to show the quantile, or Student's for one more."""
+    x, y = [1 / n for n, _ in pairs], [math.log(p) for _, p in pairs]
+    a, b = line(x, y)
+    r2 = [(q - a - b * p) ** 2 for p, q in zip(x, y)]
+    c, d = line(x, r2)
+    if d < 0:
+        c, d = sum(r2) / len(r2), 0.0
+    elif c < 0:
+        c, d = 0.0, sum(r2) / sum(x)
+    z = sorted((q - a - b * p) / math.sqrt(c + d * p) for p, q in zip(x, y))
+    top, n = z[math.ceil(quantile * len(z) - 1e-9) - 1], len(z)
+    if n * (1 - quantile) < 1:
+        t, free = statistics.NormalDist().inv_cdf(quantile), max(n - 2, 1)
+        top = max(top, (t + (t**3 + t) / (4 * free) + (5 * t**5 + 16 * t**3 + 3 * t) / (96 * free**2)) * math.sqrt((n + 1) / max(n - 1, 1)))
+    return a, b, c, d, top
+
+
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(8)
@@ -100,28 +126,10 @@ def test_held_out_documents_set_the_thresholds_of_their_language(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id bigint, quality int, toxic int")
     judged = quality_lm._judged(docs, labels, 0.9, "text", "doc_id", "lang", None).collect()
     held = [r for r in judged if r["text_hash"] % quality_lm.HELD_OUT == 0 and r["doc_id"] < 600]
-    mean = lambda v: sum(v) / len(v)
-
-    def line(x, y):
-        mx, my = mean(x), mean(y)
-        b = sum((p - mx) * (q - my) for p, q in zip(x, y)) / sum((p - mx) ** 2 for p in x)
-        return my - b * mx, b
-
-    def fit(rows):
-        x, y = [1 / r["n_grams"] for r in rows], [math.log(r["perplexity"]) for r in rows]
-        a, b = line(x, y)
-        r2 = [(q - a - b * p) ** 2 for p, q in zip(x, y)]
-        c, d = line(x, r2)
-        if d < 0:
-            c, d = mean(r2), 0.0
-        elif c < 0:
-            c, d = 0.0, mean(r2) / mean(x)
-        z = sorted((q - a - b * p) / math.sqrt(c + d * p) for p, q in zip(x, y))
-        return a, b, c, d, z[math.ceil(0.9 * len(z)) - 1]
-
-    fits = {g: fit([r for r in held if r["lang"] == g]) for g in ("en", "fr") if sum(r["lang"] == g for r in held) >= quality_lm.OWN_DOCS}
+    pairs = lambda rows: [(r["n_grams"], r["perplexity"]) for r in rows]
+    fits = {g: fit(pairs(r for r in held if r["lang"] == g), 0.9) for g in ("en", "fr") if sum(r["lang"] == g for r in held) >= quality_lm.OWN_DOCS}
     assert set(fits) == {"en", "fr"}
-    every = fit(held)
+    every = fit(pairs(held), 0.9)
     for r in judged:
         a, b, c, d, z = fits.get(r["lang"], every)
         assert r["threshold"] == pytest.approx(math.exp(a + b / r["n_grams"] + z * math.sqrt(c + d / r["n_grams"])), rel=1e-6)
