@@ -1,7 +1,8 @@
 """A corpus pipeline over documents: classify, drop exact and near copies, mix sources, pack.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents; the last returns the packed pieces.
+All but the last return the columns of documents, extra ones too, whatever their names; the last returns the packed pieces.
+No stage fails on an empty table: it returns no rows. Texts are taken whole at any length, and a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -30,36 +31,39 @@ def _stage(f):
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose perplexity under a model of trusted text is too high for their language."""
+    """Rejects documents whose perplexity under a model of trusted text is too high for their language.
+
+    Empty and null texts, null ids and null languages are judged like others; repeated rows fare alike, and rows of one id each by their own text.
+    """
     return quality_lm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal normalised texts stays."""
+    """One document of each group of equal normalised texts stays: the longest, then that of least id, null ids last; of a repeated row, one. Empty and null texts are one group."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 @_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of least id."""
+    """One document of each group of near copies stays: the one of least id. Texts without words and rows with a null id stay; so do all rows of the id that stays."""
     return jaccard.drop_near_duplicates(docs)
 
 
 @_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to target weights: a document appears as often as the mix takes it."""
+    """Sources to target weights: a document appears as often as the mix takes it. A null source is one of its own; repeated rows and null ids are documents of their own."""
     return mixing.mixed_documents(docs)
 
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 ids and their places in sequences."""
+    """Pieces of at most 1024 ids and their places in sequences. An empty text has one piece, its end; repeated rows each have places."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
-#: The model and the tokenizer aren't SQL; the tests hold run() against the stages one by one, and of these exact and pack against plain checks; there is no brute-force version of all five.
+#: The model and the tokenizer aren't SQL; tests/llm/test_pipeline_stages.py holds each stage against a plain-Python version, and run() against the stages.
 ORACLE_SQL = None
 
 
