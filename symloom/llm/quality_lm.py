@@ -6,8 +6,9 @@ Counts of pairs are sharded by pair; continuation counts and context totals are
 
 The model is one table of what each known word and pair adds to a text's log probability over that of as many unknown
 words (see additive()), and a text's perplexity comes from one join of its grams with that table, sharded by gram. Two things
-keep rows from moving there and change no score: the most frequent words and pairs (HEAD_ROWS of each at most) are looked up
-where the text is, and so is, in a Bloom filter, whether the table has a gram at all.
+keep grams from moving there and change no score: the most frequent words and pairs (HEAD_ROWS of each at most) are looked up
+where the text is, and so is, in a Bloom filter, whether the table has a gram at all. Each text is split into words once; what is
+left of a batch's grams moves as one block for each shard, each gram once with the rows that have it, and their sums move back so.
 
 One trusted document in HELD_OUT doesn't train the model. A document is rejected if its perplexity is above its
 language's threshold for its length, from a quantile of these held-out documents' deviations.
@@ -17,35 +18,40 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import lru_cache, reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, discard, if_small, tidy, written
+from .common import body, discard, if_small, written
 
-#: Signs that are coded at once.
-CHUNK = 250_000
+#: Signs that are coded at once, and signs of short texts that are gathered for it.
+CHUNK, GATHERED = 250_000, 100_000
 #: One trusted document in so many only serves to set thresholds.
 HELD_OUT = 5
 #: Thresholds are at this quantile of a language's held-out documents; OWN_DOCS of them are needed for a language to have its own.
 QUANTILE, OWN_DOCS = 0.995, 30
-#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of a round's rest up to which there is a filter of them (8 MB).
-HEAD_ROWS, FILTER_ROWS = 500_000, 16_000_000
+#: Words, and as many pairs, that are looked up in place (12 bytes each); rows of the rest up to which there is a filter of them (24 MB).
+HEAD_ROWS, FILTER_ROWS = 500_000, 48_000_000
 #: Words that are broadcast while the model is made; pairs of other ones take two joins.
 WORD_ROWS = 400_000
-#: The rest of the grams is joined in so many rounds, so that no more than such a part of them is on disk at a time; each reads the texts again.
-ROUNDS = 3
+#: Rows of the rest in a shard, which one task holds; grams of texts that a task gathers before it sends them on.
+SHARD_ROWS, HELD_HITS = 1_000_000, 1_000_000
+#: The texts are scored in so many parts, twice as many without a filter, so that no more than such a part of their grams is on disk at a time.
+ROUNDS = 2
 #: Grams that a task counts before it sends them on.
 HELD_GRAMS = 4_000_000
 _EDGE_SIGN = "\U0010ffff"
 _WORD_BITS = 31
 _EDGE_WORD = (1 << _WORD_BITS) - 1
-_SLICES, _SLICE_BITS = 61, 20
+_FILTER_WORDS = 3_000_000
+#: Kinds of a block, in the order in which they are needed: of the table, of texts' grams or sums, of texts.
+_MODEL, _PART, _TEXTS = 0, 1, 2
 
 
 @lru_cache(1)
@@ -66,15 +72,25 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(31-bit code of each word, its start)."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     kind = _classes()[raw]
-    first = np.flatnonzero((kind == 2) | ((kind == 1) & np.r_[True, kind[:-1] != 1]))
+    before = np.r_[np.uint8(0), kind[:-1]]
+    first = np.flatnonzero((kind & ~before & 1) | (kind >> 1))
     if not len(first):
         return np.zeros(0, np.int64), first
     # a word's hash is a sum over its signs, each mixed with its place in the word
-    place = np.arange(len(raw)) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(raw)]))
-    x = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x[kind == 0] = 0
+    by_place = np.uint64(0xD6E8FEB86659FD93)
+    x = raw.astype(np.uint64)
+    x += np.uint64(1)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    y = np.arange(len(raw), dtype=np.uint64)
+    y *= by_place
+    x += y
+    x[first[0] :] -= np.repeat(first.astype(np.uint64) * by_place, np.diff(first, append=len(raw)))
+    np.right_shift(x, np.uint64(32), out=y)
+    x ^= y
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(29), out=y)
+    x ^= y
+    x *= kind != 0
     h = np.add.reduceat(x, first) * np.uint64(0x94D049BB133111EB)
     code = (h >> np.uint64(33)).astype(np.int64)
     code[(code == _EDGE_WORD) | (code == 0)] = 1
@@ -90,8 +106,8 @@ def word_pairs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     def flush() -> tuple[np.ndarray, np.ndarray]:
         word, at = _words("".join(held))
-        starts = np.cumsum([0, *(len(h) for h in held[:-1])])
-        own = np.searchsorted(starts, at, "right") - 1
+        starts = np.cumsum([0, *(len(h) for h in held)])
+        own = np.repeat(np.arange(len(held)), np.diff(np.searchsorted(at, starts)))
         pair = np.flatnonzero(own[1:] == own[:-1]) + 1
         return word[pair - 1] << _WORD_BITS | word[pair], np.array(owner, np.int64)[own[pair]]
 
@@ -118,7 +134,7 @@ def word_pairs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held.append(_EDGE_SIGN + text + _EDGE_SIGN)
         owner.append(i)
         size += len(held[-1])
-        if size >= CHUNK:
+        if size >= GATHERED:
             yield flush()
             held, owner, size = [], [], 0
     if held:
@@ -225,137 +241,254 @@ def train(texts: DataFrame, head_rows: int | None = None) -> tuple[DataFrame, fl
 
 
 class _Table:
-    """long -> float: one probe of a hash table, and binary search for what lost its slot there."""
+    """long -> float: a hash table of one probe, another one of what lost its slot there, and so on; binary search for what is left."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels = []
+        for by in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            shift = 64 - max(8, (2 * len(keys)).bit_length())
+            slot_key, slot_value = np.full(1 << (64 - shift), -1, np.int64), np.zeros(1 << (64 - shift), np.float32)
+            level = np.uint64(by), np.uint64(shift), slot_key, slot_value
+            self.levels.append(level)
+            at = self._slot(keys, level)
+            slot_key[at] = keys
+            won = slot_key[at] == keys
+            slot_value[at[won]] = values[won]
+            keys, values = keys[~won], values[~won]
+            if not len(keys):
+                break
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.shift = np.uint64(64 - max(8, int(2 * max(1, len(keys))).bit_length()))
-        self.slot_key = np.full(1 << int(64 - self.shift), -1, np.int64)
-        self.slot_value = np.zeros(len(self.slot_key))
-        at = self._slot(self.keys)
-        self.slot_key[at], self.slot_value[at] = self.keys, self.values
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+    def _slot(self, keys: np.ndarray, level: tuple) -> np.ndarray:
+        return (keys.astype(np.uint64) * level[0]) >> level[1]
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values, found)."""
-        at = self._slot(keys)
-        found, values = self.slot_key[at] == keys, self.slot_value[at]
-        miss = np.flatnonzero(~found)
-        if len(miss) and len(self.keys):
-            i = np.minimum(np.searchsorted(self.keys, keys[miss]), len(self.keys) - 1)
-            hit = self.keys[i] == keys[miss]
-            values[miss[hit]], found[miss[hit]] = self.values[i[hit]], True
-        values[~found] = 0.0
-        return values, found
-
-
-def _bits(gram: np.ndarray) -> list[np.ndarray]:
+        out, found = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        asked = np.arange(len(keys))
+        for level in self.levels:
+            mine = keys[asked]
+            at = self._slot(mine, level)
+            there = level[2][at]
+            hit = there == mine
+            out[asked[hit]], found[asked[hit]] = level[3][at[hit]], True
+            asked = asked[~hit & (there != -1)]  # no key lost to an empty slot
+        if len(asked) and len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, keys[asked]), len(self.keys) - 1)
+            hit = self.keys[i] == keys[asked]
+            out[asked[hit]], found[asked[hit]] = self.values[i[hit]], True
+        return out, found
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Compressed, after their number: the first bytes of all, then the second ones and so on, as small numbers have the same in most."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(planes: pa.Buffer, kind: type) -> np.ndarray:
+    """What _planes() was given."""
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(planes.slice(8), int.from_bytes(planes.slice(0, 8).to_pybytes(), "little") * size, "zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _shard(gram: np.ndarray, shards: int) -> np.ndarray:
+    """The pairs of one first word are in up to 32 shards: near each other when sorted, and never all in one."""
+    return np.where(gram < 0, gram, gram >> 26) % shards
+
+
+def _bits(gram: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each gram in a shard's slice of the Bloom filter, and the four bits that it sets there."""
     x = gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return [((x >> np.uint64(k)) & np.uint64((1 << _SLICE_BITS) - 1)).astype(np.int64) for k in (0, 21, 42)]
+    bits = np.zeros(len(x), np.uint64)
+    for k in (8, 14, 20, 26):
+        bits |= np.uint64(1) << ((x >> np.uint64(k)) & np.uint64(63))
+    return (((x >> np.uint64(32)) * np.uint64(words)) >> np.uint64(32)).astype(np.int64), bits
+
+
+_BLOCK = "shard int, kind int, block bigint, a binary, b binary"
+
 
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["shard", "kind", "block", "a", "b"])
 
-def _filter(grams: DataFrame) -> dict[int, np.ndarray]:
-    """A Bloom filter of a column of grams in _SLICES slices, each made by one task."""
 
-    def fill(table: pa.Table) -> pa.Table:
-        gram = table.column("gram_").to_numpy()
-        bits = np.zeros(1 << _SLICE_BITS, bool)
-        for at in _bits(gram):
-            bits[at] = True
-        return pa.table({"slice": pa.array([int(gram[0]) % _SLICES], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of blocks; a and b as buffers."""
+    for batch in batches:
+        shard, kind, block = (batch.column(i).to_pylist() for i in range(3))
+        for i in range(batch.num_rows):
+            a, b = (batch.column(c)[i].as_buffer() for c in (3, 4))
+            yield shard[i], kind[i], block[i], a, b
 
-    with tidy(grams.sparkSession):  # also around what makes the DataFrame
-        made = grams.select(F.pmod("gram_", F.lit(_SLICES)).cast("int").alias("slice"), "gram_").groupBy("slice").applyInArrow(fill, "slice int, bits binary")
-        return {r["slice"]: np.frombuffer(r["bits"], np.uint8) for r in made.collect()}
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Blocks are large rows: Python gets some MB of them at a time. Also around what makes the DataFrame."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(16 << 20))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "text", id_: str = "doc_id", lang: str = "lang", head_rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
-    """doc_id, lang, text_hash, log_p, n_grams, perplexity, from written tables. An empty or null text has one gram, its end; repeated and null ids are scored row by row.
 
-    head_rows, filter_rows and ROUNDS decide what is moved and when, never a score. Rows are told apart by 64 bits of a hash of id, language and
-    text (at n rows about n^2 / 2^65 pairs share one). A gram that many texts share is no hot key for long: what is frequent in trusted text is
-    in the head, and partitions that grow all the same are split by the adaptive skew join.
+def _model_blocks(rest: DataFrame, shards: int, words: int) -> DataFrame:
+    """A written table of the rest of the model, one block for each shard, with its slice of the filter as bits."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        gram, v = (np.concatenate([x[i] for x in got]) if got else np.zeros(0) for i in (0, 1))
+        if len(gram):
+            order = np.argsort(gram)
+            gram, v = gram[order], v[order]
+            at, bits = _bits(gram, words)
+            order = np.argsort(at)
+            first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+            slice_ = np.zeros(words, np.uint64)
+            slice_[at[order][first]] = np.bitwise_or.reduceat(bits[order], first)
+            made = _blocks([(int(_shard(gram[:1], shards)[0]), _MODEL, -1, _planes(np.diff(gram, prepend=0)), _planes(v))])
+            yield made.append_column("bits", pa.array([slice_.tobytes()], pa.binary()))
+
+    shard = F.pmod(F.when(F.col("gram") < 0, F.col("gram")).otherwise(F.shiftright("gram", 26)), F.lit(shards)).cast("int")
+    parted = rest.select("gram", "v", shard.alias("shard")).repartitionById(shards, "shard").select("gram", "v")
+    return written(parted.mapInArrow(pack, f"{_BLOCK}, bits binary"), "model-blocks")
+
+
+def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "text", id_: str = "doc_id", lang: str = "lang", head_rows: int | None = None, filter_rows: int | None = None, last: bool = False) -> DataFrame:
+    """doc_id, lang, text_hash, log_p, n_grams, perplexity. An empty or null text has one gram, its end; repeated and null ids are scored row by row.
+
+    head_rows and filter_rows decide what is moved, never a score. last: nothing else reads the model, so its table goes. A task holds one shard
+    of the table and one block of grams at a time, however often texts have a gram; rows are told apart by their place in the task that reads them.
     """
     head_rows, filter_rows = HEAD_ROWS if head_rows is None else head_rows, FILTER_ROWS if filter_rows is None else filter_rows
     table, unknown = model
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_}`").cast("long").alias("key_"), F.col(f"`{lang}`").cast("string").alias("lang"), body(f"`{text}`").alias("text_"))
-    docs = docs.select(F.xxhash64("key_", "lang", "text_").alias("row"), "key_", "lang", F.xxhash64("text_").alias("hash_"), "text_")
+    docs = docs.select("key_", "lang", F.xxhash64("text_").alias("hash_"), "text_")
     word = F.col("gram") < 0
     in_head = (word & (F.col("c") >= _head(table.where(word), head_rows))) | (~word & (F.col("c") >= _head(table.where(~word), head_rows)))
     head = table.where(in_head).select("gram", "v").toArrow()
-    shared = spark.sparkContext.broadcast((head.column("gram").to_numpy(), head.column("v").to_numpy()))
-
-    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = _Table(*shared.value)
-        for batch in batches:
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for gram, who in word_pairs(batch.column("text_").to_pylist()):
-                n += np.bincount(who, minlength=batch.num_rows)
-                for x in (gram, -1 - (gram & _EDGE_WORD)):
-                    total += np.bincount(who, head.get(x)[0], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text_"]).columns, pa.array(total + n * unknown), pa.array(n)], names=["row", "key_", "lang", "hash_", "s", "n"])
-
-    parts = [written(docs.mapInArrow(in_place, "row bigint, key_ bigint, lang string, hash_ bigint, s double, n bigint"), "scores-in-place")]
+    rest = table.where(~in_head)
+    rows = rest.count()
+    shards = -(-rows // SHARD_ROWS) | 1  # odd: a word's code is not to repeat in it
+    words = min(rows // 8, _FILTER_WORDS) // shards + 1
+    with _small_batches(spark):
+        parts = _model_blocks(rest, shards, words)
+        if last:
+            discard(table)
+        bloom = None
+        if rows <= filter_rows:
+            bloom = np.zeros(shards * words, np.uint64)
+            for r in parts.select("shard", "bits").toLocalIterator():
+                bloom[r["shard"] * words : (r["shard"] + 1) * words] = np.frombuffer(r["bits"], np.uint64)
+        shared = spark.sparkContext.broadcast((head.column("gram").to_numpy(), head.column("v").to_numpy(), bloom))
+        rounds, found = ROUNDS if bloom is not None else 2 * ROUNDS, []
+        del head, bloom
+        for k in range(rounds):
+            sent = docs.where(F.pmod("hash_", F.lit(rounds)) == k).mapInArrow(_sent(shared, unknown, shards, words), _BLOCK)
+            met = sent.unionByName(parts.drop("bits")).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_met, _BLOCK)
+            back = met.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_scored, "doc_id bigint, lang string, text_hash bigint, log_p double, n_grams bigint, perplexity double")
+            found.append(written(back, f"perplexities-{k}"))
     shared.destroy()
-    rest = table.where(~in_head).select(F.col("gram").alias("gram_"), "v")
-    few = rest.count() <= filter_rows * ROUNDS
-    for k in range(ROUNDS):
-        mine = rest.where(F.pmod("gram_", F.lit(ROUNDS)) == k)
-        shared = spark.sparkContext.broadcast(_filter(mine) if few else None)
-        parts.append(written(_joined(docs.select("row", "text_"), mine, k, shared), f"scores-{k}"))
-        shared.destroy()
-    own, *more = parts
-    for other in more[1:]:
-        more[0] = more[0].unionByName(other)
-    # of rows that are the same in all, each has sent all its grams
-    copies = own.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
-    sums = more[0].groupBy("row").agg(F.sum("more").alias("more")).join(copies, "row", "left").select("row", (F.col("more") / F.coalesce("copies", F.lit(1))).alias("more"))
-    log_p = F.col("s") + F.coalesce("more", F.lit(0.0))
-    found = written(own.join(sums, "row", "left").select(F.col("key_").alias("doc_id"), "lang", F.col("hash_").alias("text_hash"), log_p.alias("log_p"), F.col("n").alias("n_grams"), F.exp(-log_p / F.col("n")).alias("perplexity")), "perplexities")
-    discard(*parts)
-    return found
-
-
-def _joined(docs: DataFrame, rest: DataFrame, k: int, shared: Broadcast) -> DataFrame:
-    """row, more: what the grams of round k that are in `rest` add to each row's sum, without rows that have none there. shared: a filter of them, or None."""
-
-    def known(g: np.ndarray, bloom: dict[int, np.ndarray]) -> np.ndarray:
-        out, part, spots = np.zeros(len(g), bool), g % _SLICES, _bits(g)
-        by = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[by], np.arange(_SLICES + 1))
-        for s in bloom:
-            mine = by[ends[s] : ends[s + 1]]
-            hit = np.ones(len(mine), bool)
-            for b in spots:
-                hit &= (bloom[s][b[mine] >> 3] >> (7 - (b[mine] & 7)).astype(np.uint8) & 1).astype(bool)
-            out[mine] = hit
-        return out
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
-        for batch in batches:
-            row = batch.column("row").to_numpy()
+    discard(parts)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _sent(shared: Broadcast, unknown: float, shards: int, words: int):
+    """Of each batch of texts: a block with what the head adds to each, and for each shard blocks of the grams that may be there."""
+
+    def hits(block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, who = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        order = np.argsort(gram)
+        gram = gram[order]
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        gram, count = gram[first], np.diff(first, append=len(gram))
+        shard = _shard(gram, shards)
+        by = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+        gram, first, count, shard = gram[by], first[by], count[by], shard[by]
+        ends = np.r_[0, np.cumsum(count)]
+        who = who[order[np.arange(ends[-1]) + np.repeat(first - ends[:-1], count)]].astype(np.uint32)
+        cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows.append((int(shard[a]), _PART, block, _planes(np.diff(gram[a:b], prepend=0)), _planes(np.r_[count[a:b].astype(np.uint32), who[ends[a] : ends[b]]])))
+        return _blocks(rows)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, bloom = shared.value
+        head = _Table(keys, values)
+        for block, batch in enumerate(batches, TaskContext.get().partitionId() << 32):
+            rows = batch.num_rows
+            total, n = np.zeros(rows), np.zeros(rows, np.int64)
+            held, size = [], 0
             for gram, who in word_pairs(batch.column("text_").to_pylist()):
+                n += np.bincount(who, minlength=rows)
                 for x in (gram, -1 - (gram & _EDGE_WORD)):
-                    mine = np.flatnonzero(x % ROUNDS == k)
-                    x, y = x[mine], who[mine]
+                    v, found = head.get(x)
+                    total += np.bincount(who, v, rows)
+                    left = np.flatnonzero(~found)
+                    x, y = x[left], who[left]
                     if bloom is not None:
-                        in_ = known(x, bloom)
+                        at, bits = _bits(x, words)
+                        in_ = bloom[_shard(x, shards) * words + at] & bits == bits
                         x, y = x[in_], y[in_]
-                    if not len(x):
-                        continue
-                    o = np.lexsort((x, y))
-                    x, y = x[o], y[o]
-                    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(row[y[first]]), pa.array(x[first]), pa.array(np.diff(np.r_[first, len(x)]).astype(np.int32))], names=["row", "gram", "c"])
-
-    return docs.mapInArrow(split, "row bigint, gram bigint, c int").join(rest, F.col("gram") == F.col("gram_")).groupBy("row").agg(F.sum(F.col("c") * F.col("v").cast("double")).alias("more"))
+                    if len(x):
+                        held.append((x, y))
+                        size += len(x)
+                if size >= HELD_HITS:
+                    yield hits(block, held)
+                    held, size = [], 0
+            if size:
+                yield hits(block, held)
+            own = pa.RecordBatch.from_arrays([*batch.drop_columns(["text_"]).columns, pa.array(total + n * unknown), pa.array(n)], names=["key_", "lang", "hash_", "s", "n"])
+            to = pa.BufferOutputStream()
+            with pa.ipc.new_stream(to, own.schema) as stream:
+                stream.write_batch(own)
+            yield _blocks([(block % shards, _TEXTS, block, to.getvalue().to_pybytes(), None)])
+
+    return send
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The join: blocks of grams become blocks of what each text gets from the shard. Texts pass."""
+    here, keys, values = None, None, None
+    for shard, kind, block, a, b in _each(batches):
+        if kind == _MODEL:
+            here, keys, values = shard, np.cumsum(_numbers(a, np.int64)), _numbers(b, np.float32).astype(float)
+        elif kind == _TEXTS:
+            yield _blocks([(shard, kind, block, a.to_pybytes(), None)])
+        elif shard == here:
+            gram = np.cumsum(_numbers(a, np.int64))
+            count, who = np.split(_numbers(b, np.uint32), [len(gram)])
+            at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+            sums = np.bincount(who, np.repeat(np.where(keys[at] == gram, values[at], 0.0), count))
+            some = np.flatnonzero(sums)
+            if len(some):
+                yield _blocks([(shard, kind, block, _planes(some.astype(np.uint32)), _planes(sums[some]))])
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the sums of all shards, which come before them."""
+    here, more = None, np.zeros(0)
+    for _, kind, block, a, b in _each(batches):
+        if block != here:
+            here, more = block, np.zeros(0)
+        if kind == _PART:
+            row = _numbers(a, np.uint32)
+            if row[-1] >= len(more):
+                more = np.r_[more, np.zeros(int(row[-1]) + 1 - len(more))]
+            more[row] += _numbers(b, np.float64)
+        else:
+            own = pa.ipc.open_stream(a).read_next_batch()
+            log_p, n = own.column("s").to_numpy().copy(), own.column("n").to_numpy()
+            log_p[: len(more)] += more
+            yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(log_p), pa.array(n), pa.array(np.exp(-log_p / n))], names=["doc_id", "lang", "text_hash", "log_p", "n_grams", "perplexity"])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -368,8 +501,7 @@ def _judged(docs: DataFrame, labels: DataFrame, quantile: float, text: str, id_:
     held = lambda h: F.pmod(h, F.lit(HELD_OUT)) == 0
     some = docs.join(if_small(good), F.col(f"`{id_}`") == F.col("trusted_"), "left_semi").select(body(f"`{text}`").alias("text_"))
     model = train(some.where(~held(F.xxhash64("text_"))), head_rows)
-    scored = perplexities(docs, model, text, id_, lang, head_rows)
-    discard(model[0])
+    scored = perplexities(docs, model, text, id_, lang, head_rows, last=True)
     own = written(scored.where(held(F.col("text_hash"))).join(if_small(good), F.col("doc_id") == F.col("trusted_"), "left_semi"), "held-out")
     by_lang = written(_fit(own, ["lang"], quantile).where(F.col("docs_") >= OWN_DOCS).withColumnRenamed("lang", "lang_"), "fit-by-language")
     over_all = _fit(own, [], quantile).select(*(F.col(c).alias(f"{c}all_") for c in _FIT))

@@ -105,6 +105,60 @@ def test_rows_stay_apart(spark, texts):
     assert all((False, 3, False, "en", len(tokens(t)) - 1, plain[t]) in first for t in (texts[3], texts[5]))
 
 
+def test_texts_are_read_at_most_twice_to_be_scored(spark, texts):
+    """A pass for the head and one for each third of the other grams, each splitting all texts again, took most of the time."""
+    model = quality_lm.train(frame(spark, texts[:25]).select("text"), 20)
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    asked = frame(spark, texts)
+    assert quality_lm.perplexities(asked.mapInArrow(counted, asked.schema), model, head_rows=20).count() == len(texts)
+    assert rows.value <= 2 * len(texts)
+
+
+def test_a_batch_is_split_once_and_sent_as_a_block_per_shard(monkeypatch, texts):
+    import pyarrow as pa
+
+    asked, whole = [], quality_lm.word_pairs
+    monkeypatch.setattr(quality_lm, "word_pairs", lambda t: asked.append(t) or whole(t))
+    monkeypatch.setattr(quality_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["en"] * n), pa.array(range(n)), pa.array(texts)], names=["key_", "lang", "hash_", "text_"])
+    none = type("B", (), {"value": (quality_lm.np.zeros(0, int), quality_lm.np.zeros(0), None)})
+    sent = [r for b in quality_lm._sent(none, -9.0, 5, 1)([batch]) for r in b.to_pylist()]
+    assert len(asked) == 1 and sorted(r["shard"] for r in sent if r["kind"] == quality_lm._PART) == list(range(5))
+    assert [r["block"] for r in sent] == [3 << 32] * 6 and sent[-1]["kind"] == quality_lm._TEXTS
+
+
+def test_shards_blocks_and_parts_change_no_score(spark, monkeypatch, texts):
+    asked = [*texts, texts[3] * 5, "none of these were seen", ""]
+    model = quality_lm.train(frame(spark, texts[:25]).select("text"), 20)
+    scores = lambda **k: {r["doc_id"]: r["log_p"] for r in quality_lm.perplexities(frame(spark, asked).repartition(3), model, **k).collect()}
+    want = scores(head_rows=10**6)
+    monkeypatch.setattr(quality_lm, "SHARD_ROWS", 40)
+    monkeypatch.setattr(quality_lm, "HELD_HITS", 50)
+    monkeypatch.setattr(quality_lm, "GATHERED", 200)
+    monkeypatch.setattr(quality_lm, "ROUNDS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for bloom in (10**6, 0):
+            assert scores(head_rows=20, filter_rows=bloom) == pytest.approx(want, rel=1e-6)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_table_finds_what_lost_its_slot(texts):
+    keys = quality_lm.np.unique(quality_lm.np.concatenate([g for g, _ in quality_lm.word_pairs(texts)]))
+    table = quality_lm._Table(keys[::2], quality_lm.np.arange(len(keys[::2])) / 8)
+    values, found = table.get(keys)
+    assert found.tolist() == [i % 2 == 0 for i in range(len(keys))] and values[::2].tolist() == [i / 8 for i in range(len(keys[::2]))]
+    assert not values[1::2].any() and len(table.levels) > 1
+
+
 def test_rows_of_one_id_go_or_stay_by_their_own_text(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdeilnorst", k=rng.randint(2, 5))) for _ in range(40)]
