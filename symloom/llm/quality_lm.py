@@ -385,7 +385,7 @@ def perplexities(docs: DataFrame, model: tuple[DataFrame, float], text: str = "t
         bloom = None
         if rows <= filter_rows:
             bloom = np.zeros(shards * words, np.uint64)
-            for r in parts.select("shard", "bits").toLocalIterator():
+            for r in parts.select("shard", "bits").collect():
                 bloom[r["shard"] * words : (r["shard"] + 1) * words] = np.frombuffer(r["bits"], np.uint64)
         shared = spark.sparkContext.broadcast((head.column("gram").to_numpy(), head.column("v").to_numpy(), bloom))
         rounds, found = ROUNDS if bloom is not None else 2 * ROUNDS, []
